@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 CACHE = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 _PIECES = re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-_ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0  -​    　﻿]")
+_ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class _Whole(Exception):

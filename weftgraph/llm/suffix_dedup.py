@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import RID, Scratch, bound_batches, keyed, over_batches, utf8
 
-LENGTH, GRAM, BUCKET_CAP = 100, 32, 2048
+LENGTH, GRAM, BUCKET_CAP = 100, 32, 32_768
 U = np.uint64
 _BASE, _BASE2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
@@ -274,7 +274,7 @@ class Dedup:
         self.docs, self.length, self.cap = docs.select(RID, "text"), length, bucket_cap
         self.scratch = scratch = Scratch(docs.sparkSession)
         counts = anchors(self.docs, length, gram, True).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        twice = counts.where("n > 1").select("h")
+        twice = scratch.write(counts.where("n > 1").select("h"), "twice")  # a table, so that the join can split a hot anchor
         self.runs = scratch.write(anchors(self.docs, length, gram, False).join(twice, "h", "left_semi"), "runs")
         scratch.release()
         firsts = self.runs.groupBy("h", "c").agg(F.min(F.struct(RID, "run")).alias("f"), F.count(F.lit(1)).alias("n"))
