@@ -26,22 +26,36 @@ from weftgraph.llm.encoders import encoder
 BLOCK, SEGMENT, END, LEVEL = 65_536, 1 << 20, 2, 1
 
 
+def _turn(octets: np.ndarray) -> np.ndarray:
+    """Transposes each group of 8 bytes as a matrix of 8 by 8 bits; its own inverse."""
+    x = octets.view("<u8")
+    for far, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(far))) & np.uint64(mask)
+        x = x ^ t ^ (t << np.uint64(far))
+    return x.view(np.uint8)
+
+
 def planes_of(ids: np.ndarray) -> list[bytes]:
-    """The bit planes of a block of ids, least significant first."""
+    """The bit planes of a block of ids, least significant first; bit i of a plane's byte j is of id 8 * j + i."""
     width = int(ids.max()).bit_length() if len(ids) else 0
-    size = 1 if width <= 8 else 2 if width <= 16 else 4
-    bits = np.unpackbits(ids.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
-    return [p.tobytes() for p in np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")]
+    padded = np.zeros(-(-len(ids) // 8) * 8, "<u4")
+    padded[: len(ids)] = ids
+    octets = padded.view(np.uint8).reshape(-1, 4)
+    out: list[bytes] = []
+    for k in range(-(-width // 8)):
+        turned = _turn(np.ascontiguousarray(octets[:, k])).reshape(-1, 8)
+        out += [np.ascontiguousarray(turned[:, i]).tobytes() for i in range(min(8, width - 8 * k))]
+    return out
 
 
 def ids_from(planes: list[bytes], n: int) -> np.ndarray:
-    if not planes:
-        return np.zeros(n, np.uint32)
-    size = 8 if len(planes) <= 8 else 16 if len(planes) <= 16 else 32
-    bits = np.zeros((size, n), np.uint8)
-    for k, p in enumerate(planes):
-        bits[k] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").reshape(-1).view(f"<u{size // 8}").astype(np.uint32)
+    octets = np.zeros((-(-n // 8) * 8, 4), np.uint8)
+    for k in range(0, len(planes), 8):
+        turned = np.zeros((len(octets) // 8, 8), np.uint8)
+        for i, p in enumerate(planes[k : k + 8]):
+            turned[:, i] = np.frombuffer(p, np.uint8)
+        octets[:, k // 8] = _turn(turned.reshape(-1))
+    return octets.reshape(-1).view("<u4")[:n]
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK, level: int = LEVEL) -> tuple[bytes, list[int]]:

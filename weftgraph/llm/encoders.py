@@ -15,7 +15,12 @@ from tokenizers import Tokenizer
 
 CACHE = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
-_PIECES = re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+#: Letters that every Unicode version calls letters: a run of them that ends before another ASCII character or the
+#: text's end is a token of its own in both patterns, so that punctuation doesn't multiply the pieces.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_RUN = f"[{_LETTERS}]++" + r"(?=[\x00-@\[-`{-\x7f]|\Z)"
+_SPACED = re.compile(rf" ?{_RUN}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_DROPPED = re.compile(rf"{_RUN}|[^{_BLANK}]+")
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
@@ -27,11 +32,10 @@ class _Cache(dict):
     def __init__(self, tok: Tokenizer, room: int):
         self.tok, self.room = tok, room
 
-    def __missing__(self, piece):
-        text = piece.decode() if isinstance(piece, bytes) else piece
-        if _ODD.search(text):
+    def __missing__(self, piece: str) -> bytes:
+        if _ODD.search(piece):
             raise _Whole
-        ids = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        ids = array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(self) < self.room:
             self[piece] = ids
         return ids
@@ -52,7 +56,7 @@ class Encoder:
         if len(self.cache) >= self.cache.room:
             self.cache.clear()
         try:
-            pieces = _PIECES.findall(text.decode()) if self.spaced else text.split()
+            pieces = (_SPACED if self.spaced else _DROPPED).findall(text.decode())
             return b"".join(map(self.cache.__getitem__, pieces))
         except _Whole:
             return self.whole(text.decode())
