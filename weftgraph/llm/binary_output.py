@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import RID, Scratch, bound_batches, keyed, over_batches, texts
+from weftgraph.llm.common import RID, Scratch, bound_batches, give_back, keyed, over_batches, texts
 from weftgraph.llm.encoders import encoder
 
 BLOCK, SEGMENT, END, LEVEL = 65_536, 1 << 20, 2, 1
@@ -107,6 +107,7 @@ def segments(docs: DataFrame, path: str, parts: int, end: int = END, block: int
                     yield flush()
         if held:
             yield flush()
+        give_back()
 
     bound_batches(docs.sparkSession)
     ordered = docs.select(RID, F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, RID).sortWithinPartitions(RID)

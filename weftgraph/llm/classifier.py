@@ -64,7 +64,7 @@ class Model:
         return float(out[0]), float(out[1])
 
 
-def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, v: int, l2: float = 3e-4, turns: int = 400) -> np.ndarray:
+def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, v: int, l2: float = 3e-4, turns: int = 200) -> np.ndarray:
     """Weights of words, style and the intercept, by Adam on all rows."""
     w = np.zeros(v + STYLE + 1)
     if not len(y) or y.min() == y.max():
@@ -101,14 +101,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
         return pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(got, pa.list_(pa.binary()))], names=["quality", "toxic", "words"])
 
     split = chosen.select("doc_id", "text", "quality", "toxic").mapInArrow(over_batches(words), "quality int, toxic int, words array<binary>")
-    rows, bad, toxic = split.agg(F.count(F.lit(1)), F.sum(1 - F.col("quality")), F.sum("toxic")).first()
+    rows, bad, toxic = chosen.agg(F.count(F.lit(1)), F.sum(1 - F.col("quality")), F.sum("toxic")).first()
     of = split.select("quality", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("bad"), F.sum("toxic").alias("toxic"))
+    of = Scratch(docs.sparkSession).write(of.where(F.col("n") >= LEAST_ROWS), "words")
     vocab: dict[bytes, int] = {}
     for name, total in (("bad", bad), ("toxic", toxic)):
         if rows and total and total < rows:
             p = total / rows
             z = F.abs(F.col(name) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-            for r in of.where(F.col("n") >= LEAST_ROWS).orderBy(z.desc(), "word").limit(vocabulary).collect():
+            for r in of.orderBy(z.desc(), "word").limit(vocabulary).collect():
                 vocab.setdefault(bytes(r["word"]), len(vocab))
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:

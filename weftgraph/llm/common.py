@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, mb: int = 16) -> None:
+def bound_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches are cut by bytes too, so that very long texts don't meet in one batch."""
     try:
         spark.conf.set(ARROW_BYTES, str(mb << 20))
@@ -123,10 +125,18 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield raw[a:b]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and idle ones shouldn't hold what they used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def over_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if (out := work(batch)) is not None:
                 yield out
+        give_back()
 
     return run

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CACHE = 1_000_000
+CACHE = 400_000
 _BLANK = " \t\n\x0b\x0c\r"
 #: Letters that every Unicode version calls letters: a run of them that ends before another ASCII character or the
 #: text's end is a token of its own in both patterns, so that punctuation doesn't multiply the pieces.
