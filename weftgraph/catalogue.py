@@ -1,6 +1,7 @@
-"""Every query that the driver can run, with the SQL that says the same."""
+"""Every query of the engine, with the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from weftgraph.queries import ORACLE, QUERIES, audits, documents, graph
+
+__all__ = ["ORACLE", "QUERIES", "audits", "documents", "graph"]
