@@ -58,10 +58,13 @@ def fields(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 def identity_key(pairs: Column, raw: Column) -> Column:
     """``name=value`` of the first name of IDENTITY that a map of strings has, in any case; a lone other member; else a hash."""
-    low = F.transform_keys(pairs, lambda k, v: F.lower(k))
-    named = [F.concat(F.lit(f"{n}="), low[n.lower()]) for n in IDENTITY]
+    names = F.array(*[F.lit(n) for n in IDENTITY])
+    lower = F.array(*[F.lit(n.lower()) for n in IDENTITY])
+    ranked = F.transform(F.map_entries(pairs), lambda e: F.struct(F.array_position(lower, F.lower(e["key"])).alias("r"), e["value"].alias("v")))
+    best = F.array_min(F.filter(ranked, lambda x: (x["r"] > 0) & x["v"].isNotNull()))
+    named = F.concat(F.element_at(names, best["r"].cast("int")), F.lit("="), best["v"])
     lone = F.when(F.size(pairs) == 1, F.concat(F.map_keys(pairs)[0], F.lit("="), F.map_values(pairs)[0]))
-    return F.coalesce(*named, lone, F.concat(F.lit("identityHash="), F.sha2(raw, 256)))
+    return F.coalesce(named, lone, F.concat(F.lit("identityHash="), F.sha2(raw, 256)))
 
 
 def confidence(identity: Column, n_attributes: Column) -> Column:

@@ -67,7 +67,8 @@ class _Parser:
 
 
 def _turned(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
+    ends = {"src": "dst", "dst": "src", "src_label": "dst_label", "dst_label": "src_label"}
+    return edges.select(*[F.col(ends.get(c, c)).alias(c) for c in edges.columns])
 
 
 class Query:
@@ -250,15 +251,23 @@ class Query:
                 seeds = df.select(F.col(f"`{at}._id`").alias("node")).distinct()
                 edges = hops(edges.select("src", "dst"), seeds, lo, hi).select(F.col("seed").alias("src"), F.col("node").alias("dst"))
             flat = edges.select(*[F.col(c).alias(f"{rvar}.{c}") for c in edges.columns])
-            self.vars[rvar] = [c for c in edges.columns if c not in ("src", "dst", "rel")]
-            df = df.join(flat, F.col(f"`{at}._id`") == F.col(f"`{rvar}.src`"))
+            self.vars[rvar] = [c for c in edges.columns if c not in ("src", "dst", "rel", "src_label", "dst_label")]
+            df = df.join(flat, self._meets(edges, at, rvar, "src", labels_of[at]))
             if f"{to}._id" in df.columns:
-                df = df.where(F.col(f"`{rvar}.dst`") == F.col(f"`{to}._id`"))
+                df = df.where(self._meets(edges, to, rvar, "dst", labels_of.get(to)))
             else:
-                df = df.join(bring(to, own), F.col(f"`{rvar}.dst`") == F.col(f"`{to}._id`"))
+                new = bring(to, own)
+                df = df.join(new, self._meets(edges, to, rvar, "dst", labels_of[to]))
             at = to
         return df
 
+    def _meets(self, edges: DataFrame, node: str, rel: str, end: str, labels: list[str] | None) -> Column:
+        """The node is the edge's end; with several labels their keys may be equal, so that labels must be too."""
+        same = F.col(f"`{rel}.{end}`") == F.col(f"`{node}._id`")
+        if f"{end}_label" in edges.columns and (not labels or len(labels) > 1):
+            same = same & (F.col(f"`{rel}.{end}_label`") == F.col(f"`{node}._label`"))
+        return same
+
     # ---- projections
     def _project(self, final: bool) -> None:
         p = self.p

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,33 +13,47 @@ from pyspark.sql.types import DataType
 
 @dataclass
 class Rel:
-    df: DataFrame  # src, dst and properties
+    table: DataFrame | Callable[[], DataFrame]  # src, dst and properties; a function's table is read when it is first asked for
     src_label: str
     dst_label: str
 
+    @property
+    def df(self) -> DataFrame:
+        if callable(self.table):
+            self.table = self.table()
+        return self.table
+
+    @df.setter
+    def df(self, table: DataFrame) -> None:
+        self.table = table
+
 
 @dataclass
 class PropertyGraph:
-    nodes: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
+    nodes: dict[str, tuple[DataFrame | Callable[[], DataFrame], str]] = field(default_factory=dict)
     rels: dict[str, list[Rel]] = field(default_factory=dict)
 
-    def add_node(self, label: str, df: DataFrame, pk: str) -> PropertyGraph:
+    def add_node(self, label: str, df: DataFrame | Callable[[], DataFrame], pk: str) -> PropertyGraph:
         self.nodes[label] = (df, pk)
         return self
 
-    def add_rel(self, name: str, df: DataFrame, src_label: str, dst_label: str) -> PropertyGraph:
+    def add_rel(self, name: str, df: DataFrame | Callable[[], DataFrame], src_label: str, dst_label: str) -> PropertyGraph:
         self.rels.setdefault(name, []).append(Rel(df, src_label, dst_label))
         return self
 
     def node(self, label: str) -> DataFrame:
-        return self.nodes[label][0]
+        df, pk = self.nodes[label]
+        if callable(df):
+            df = df()
+            self.nodes[label] = (df, pk)
+        return df
 
     def pk(self, label: str) -> str:
         return self.nodes[label][1]
 
     def rel(self, *names: str) -> DataFrame:
-        """Edges of the named tables: src, dst, and ``rel`` when there are several."""
-        frames = [r.df.withColumn("rel", F.lit(n)) for n in names for r in self.rels[n]]
+        """Edges of the named tables: src, dst, rel, the labels of both ends, and properties."""
+        frames = [r.df.withColumns({"rel": F.lit(n), "src_label": F.lit(r.src_label), "dst_label": F.lit(r.dst_label)}) for n in names for r in self.rels[n]]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def labels(self, *names: str) -> DataFrame:
@@ -51,7 +66,7 @@ class PropertyGraph:
 
     def load_nodes(self, label: str, rows: DataFrame) -> PropertyGraph:
         """Append rows; keys that are there twice, or there already, are an error."""
-        old, pk = self.nodes[label]
+        old, pk = self.node(label), self.pk(label)
         both = old.select(pk).unionByName(rows.select(pk))
         if twice := both.groupBy(pk).count().where("count > 1").limit(5).collect():
             raise ValueError(f"{label}: keys {[r[0] for r in twice]} are there twice")
@@ -70,7 +85,7 @@ class PropertyGraph:
 
     def add_column(self, label: str, name: str, kind: str | DataType) -> PropertyGraph:
         """A null column, unless it is there."""
-        df, pk = self.nodes[label]
+        df, pk = self.node(label), self.pk(label)
         if name not in df.columns:
             self.nodes[label] = (df.withColumn(name, F.lit(None).cast(kind)), pk)
         return self
@@ -84,7 +99,8 @@ class PropertyGraph:
     def describe(self) -> str:
         """The schema as Markdown."""
         out = ["## Nodes"]
-        for n, (df, pk) in sorted(self.nodes.items()):
+        for n in sorted(self.nodes):
+            df, pk = self.node(n), self.pk(n)
             out.append(f"- **{n}** (key {pk}): " + ", ".join(f"{c} {t}" for c, t in df.dtypes))
         out.append("## Relationships")
         for n, own in sorted(self.rels.items()):
@@ -92,7 +108,7 @@ class PropertyGraph:
         return "\n".join(out)
 
     def hint(self) -> str:
-        nodes = "; ".join(f"{n}({', '.join(df.columns)})" for n, (df, _) in sorted(self.nodes.items()))
+        nodes = "; ".join(f"{n}({', '.join(df.columns)})" for n, df in sorted((n, self.node(n)) for n in self.nodes))
         rels = "; ".join(f"{r.src_label}-[{n}]->{r.dst_label}" for n, own in sorted(self.rels.items()) for r in own)
         return f"{nodes} | {rels}"
 
@@ -104,18 +120,25 @@ class PropertyGraph:
 
 
 def driver_graph(spark, sf_dir: str) -> PropertyGraph:
-    """The driver's tables as a graph, its edges from foreign keys."""
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    """The driver's tables as a graph, its edges from foreign keys. A table is opened when a query names it."""
+    opened: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
+    def edge(name: str, a: str, b: str, *more: str) -> Callable[[], DataFrame]:
+        return lambda: t(name).select(F.col(a).alias("src"), F.col(b).alias("dst"), *more)
+
     keys = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
     g = PropertyGraph()
     for label, (name, pk) in keys.items():
-        g.add_node(label, t(name), pk)
-    edge = lambda df, a, b, *more: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), *more)
-    g.add_rel("IN_REGION", edge(t("nation"), "n_nationkey", "n_regionkey"), "Nation", "Region")
-    g.add_rel("LIVES_IN", edge(t("customer"), "c_custkey", "c_nationkey"), "Customer", "Nation")
-    g.add_rel("BASED_IN", edge(t("supplier"), "s_suppkey", "s_nationkey"), "Supplier", "Nation")
-    g.add_rel("PLACED_BY", edge(t("orders"), "o_orderkey", "o_custkey"), "Order", "Customer")
-    lines = t("lineitem")
-    g.add_rel("HAS_PART", edge(lines, "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), "Order", "Part")
-    g.add_rel("SHIPPED_BY", edge(lines, "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity"), "Order", "Supplier")
+        g.add_node(label, lambda name=name: t(name), pk)
+    g.add_rel("IN_REGION", edge("nation", "n_nationkey", "n_regionkey"), "Nation", "Region")
+    g.add_rel("LIVES_IN", edge("customer", "c_custkey", "c_nationkey"), "Customer", "Nation")
+    g.add_rel("BASED_IN", edge("supplier", "s_suppkey", "s_nationkey"), "Supplier", "Nation")
+    g.add_rel("PLACED_BY", edge("orders", "o_orderkey", "o_custkey"), "Order", "Customer")
+    g.add_rel("HAS_PART", edge("lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), "Order", "Part")
+    g.add_rel("SHIPPED_BY", edge("lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity"), "Order", "Supplier")
     return g
