@@ -10,7 +10,7 @@ over the global prior.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Scratch, bound_batches, over_batches, texts
 from weftgraph.llm.decontaminate import WORDS
 
-FIT_ROWS, VOCABULARY, LEAST_ROWS = 20_000, 1500, 5
+FIT_ROWS, VOCABULARY, LEAST_ROWS, MEMO = 20_000, (60, 240), 5, 200_000
+STEMS = (5, 6, 7, 8)  # bytes of the word beginnings that are features too, so that inflected words count together
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in b"#*$%&|<>@^~{}[]\\=")
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _NOT_LOWER = bytes(c for c in range(256) if not 97 <= c <= 122)
@@ -48,27 +49,45 @@ def style(text: bytes, words: list[bytes]) -> list[float]:
     ]
 
 
+def features_of(word: bytes) -> list[bytes]:
+    return [word, *[b"^" + word[:n] for n in STEMS if len(word) > n]]
+
+
 @dataclass
 class Model:
+    """weights are (2, words + STYLE + 1): of quality and of toxicity."""
+
     vocabulary: dict[bytes, int]
-    weights: np.ndarray  # (2, words + STYLE + 1): quality and toxicity
+    weights: np.ndarray
+    memo: dict[bytes, list[int]] = field(default_factory=dict)
+
+    def seen(self, words: list[bytes]) -> list[int]:
+        """The features of a document's words that the vocabulary has, each once."""
+        memo, out = self.memo, set()
+        if len(memo) > MEMO:
+            memo.clear()
+        for x in set(words):
+            own = memo.get(x)
+            if own is None:
+                own = memo[x] = [i for f in features_of(x) if (i := self.vocabulary.get(f)) is not None]
+            out.update(own)
+        return sorted(out)
 
     def odds(self, text: bytes) -> tuple[float, float]:
         words = text.translate(WORDS).split()
-        get, w = self.vocabulary.get, self.weights
-        seen = [i for x in set(words) if (i := get(x)) is not None]
-        v = len(self.vocabulary)
+        w, seen, v = self.weights, self.seen(words), len(self.vocabulary)
         out = w[:, v : v + STYLE] @ np.array(style(text, words)) + w[:, -1]
         if seen:
             out = out + w[:, seen].sum(axis=1)
         return float(out[0]), float(out[1])
 
 
-def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, v: int, l2: float = 3e-4, turns: int = 200) -> np.ndarray:
-    """Weights of words, style and the intercept, by Adam on all rows."""
+def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, own: np.ndarray, unseen: float, l2: float = 1e-4, turns: int = 300) -> np.ndarray:
+    """Weights of words (those in own), style and the intercept, by Adam on all rows; only words are shrunk."""
+    v = len(own)
     w = np.zeros(v + STYLE + 1)
     if not len(y) or y.min() == y.max():
-        w[-1] = 0 if not len(y) else 6.0 if y[0] else -6.0
+        w[-1] = unseen if not len(y) else 6.0 if y[0] else -6.0
         return w
     index = np.concatenate([np.array(r[0], np.int64) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
@@ -78,17 +97,18 @@ def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, v: int,
     for t in range(1, turns + 1):
         z = np.bincount(row, w[index], len(rows)) + dense @ w[v:]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.concatenate([np.bincount(index, error[row], v), dense.T @ error]) + l2 * np.append(w[:-1], 0)
+        g = np.concatenate([np.bincount(index, error[row], v), dense.T @ error]) 
+        g[:v] = (g[:v] + l2 * w[:v]) * own
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: tuple[int, int] = VOCABULARY) -> Model:
     """The model from at most ``fit_rows`` labelled documents, those with the least MD5 of their id.
 
     A document with several labels takes the lowest quality and the highest toxicity; labels with nulls are left
-    out, and without labels (or with one class only) the model says what it has seen.
+    out. With labels of one class only the model says that class; without labels it keeps every document.
     """
     bound_batches(docs.sparkSession)
     whole = labels.where("doc_id is not null and quality is not null and toxic is not null")
@@ -97,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by fit_rows
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [[x for x in set(t.translate(WORDS).split()) if len(x) <= 64] for t in texts(batch.column(1))]
+        got = [list({f for x in set(t.translate(WORDS).split()) if len(x) <= 64 for f in features_of(x)}) for t in texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(got, pa.list_(pa.binary()))], names=["quality", "toxic", "words"])
 
     split = chosen.select("doc_id", "text", "quality", "toxic").mapInArrow(over_batches(words), "quality int, toxic int, words array<binary>")
@@ -105,31 +125,34 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     of = split.select("quality", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("bad"), F.sum("toxic").alias("toxic"))
     of = Scratch(docs.sparkSession).write(of.where(F.col("n") >= LEAST_ROWS), "words")
     vocab: dict[bytes, int] = {}
-    for name, total in (("bad", bad), ("toxic", toxic)):
+    heads: list[set[int]] = [set(), set()]
+    for k, (name, total) in enumerate((("bad", bad), ("toxic", toxic))):
         if rows and total and total < rows:
             p = total / rows
             z = F.abs(F.col(name) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-            for r in of.orderBy(z.desc(), "word").limit(vocabulary).collect():
-                vocab.setdefault(bytes(r["word"]), len(vocab))
+            for r in of.orderBy(z.desc(), "word").limit(vocabulary[k]).collect():
+                heads[k].add(vocab.setdefault(bytes(r["word"]), len(vocab)))
+    lexicon = Model(vocab, np.zeros((2, 0)))
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen, shape = [], []
         for t in texts(batch.column(1)):
             own = t.translate(WORDS).split()
-            seen.append([vocab[x] for x in set(own) if x in vocab])
+            seen.append(lexicon.seen(own))
             shape.append(style(t, own))
         return pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(seen, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64()))], names=["quality", "toxic", "seen", "shape"])
 
     data = chosen.select("doc_id", "text", "quality", "toxic").mapInArrow(over_batches(features), "quality int, toxic int, seen array<int>, shape array<double>").collect()  # at most fit_rows
     xs = [(list(r["seen"]), list(r["shape"])) for r in data]
     y = np.array([[r["quality"], r["toxic"]] for r in data], float).reshape(-1, 2)
-    return Model(vocab, np.stack([_logistic(xs, y[:, k], len(vocab)) for k in range(2)]))
+    own = np.array([[float(i in head) for i in range(len(vocab))] for head in heads]).reshape(2, -1)
+    return Model(vocab, np.stack([_logistic(xs, y[:, k], own[k], unseen) for k, unseen in enumerate((6.0, -6.0))]))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """docs, with all its columns, plus __wg_q and __wg_t: log odds of good quality and of toxicity."""
     place = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * VOCABULARY words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most sum(VOCABULARY) words
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([shared.value.odds(t) for t in texts(batch.column(place))]).reshape(-1, 2)

@@ -17,7 +17,7 @@ CACHE = 400_000
 _BLANK = " \t\n\x0b\x0c\r"
 #: Letters that every Unicode version calls letters: a run of them that ends before another ASCII character or the
 #: text's end is a token of its own in both patterns, so that punctuation doesn't multiply the pieces.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"  # not U+0130, which becomes two characters in lower case
 _RUN = f"[{_LETTERS}]++" + r"(?=[\x00-@\[-`{-\x7f]|\Z)"
 _SPACED = re.compile(rf" ?{_RUN}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _DROPPED = re.compile(rf"{_RUN}|[^{_BLANK}]+")
