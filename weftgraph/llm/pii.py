@@ -25,7 +25,7 @@ TERM_LETTERS = r"[^\x00-\x60\x7B-\x7F]"
 TERM = TERM_LETTERS + r"{4,}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-SUPPORT, SHARE, GAIN_BITS, BROADCAST_TERMS = 5, 0.5, 4.0, 100_000
+SUPPORT, SHARE, GAIN_BITS, BROADCAST_TERMS = 5, 0.8, 4.0, 100_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
