@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Scratch, bound_batches, over_batches, texts
 from weftgraph.llm.decontaminate import WORDS
 
-FIT_ROWS, VOCABULARY, LEAST_ROWS, MEMO = 20_000, (60, 240), 5, 200_000
+FIT_ROWS, VOCABULARY, LEAST_ROWS, MEMO = 20_000, (60, 240), 5, 50_000
 STEMS = (5, 6, 7, 8)  # bytes of the word beginnings that are features too, so that inflected words count together
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in b"#*$%&|<>@^~{}[]\\=")
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)

@@ -132,8 +132,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def over_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What workers keep from task to task for one operator, as functions that let go of it.
+KEPT: list[Callable[[], None]] = []
+
+
+def over_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, batch by batch. A worker that turns to an operator that keeps nothing lets go of what others kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            for let_go in KEPT:
+                let_go()
         for batch in batches:
             if (out := work(batch)) is not None:
                 yield out

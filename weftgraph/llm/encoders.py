@@ -7,13 +7,18 @@ unusual white space), the library encodes the whole text instead.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CACHE = 400_000
+from weftgraph.llm.common import KEPT
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+
+CACHE = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 #: Letters that every Unicode version calls letters: a run of them that ends before another ASCII character or the
 #: text's end is a token of its own in both patterns, so that punctuation doesn't multiply the pieces.
@@ -28,36 +33,33 @@ class _Whole(Exception):
     """The text has to be encoded whole."""
 
 
-class _Cache(dict):
-    def __init__(self, tok: Tokenizer, room: int):
-        self.tok, self.room = tok, room
-
-    def __missing__(self, piece: str) -> bytes:
-        if _ODD.search(piece):
-            raise _Whole
-        ids = array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(self) < self.room:
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """``spaced``: blanks are part of tokens (byte-level BPE); else white space is dropped (word BPE)."""
 
     def __init__(self, path: str, spaced: bool, room: int = CACHE):
         self.tok, self.spaced = Tokenizer.from_file(path), spaced
-        self.cache = _Cache(self.tok, room)
+        self.cache: dict[str, bytes] = {}
+        self.room = room
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def learn(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            if _ODD.search(p):
+                raise _Whole
+            self.cache[p] = array("I", e.ids).tobytes()
+
     def ids(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) >= self.cache.room:
-            self.cache.clear()
+        cache = self.cache
+        if len(cache) >= self.room:
+            cache.clear()
+        pieces = (_SPACED if self.spaced else _DROPPED).findall(text.decode())
         try:
-            pieces = (_SPACED if self.spaced else _DROPPED).findall(text.decode())
-            return b"".join(map(self.cache.__getitem__, pieces))
+            if new := set(pieces).difference(cache):
+                self.learn(list(new))
+            return b"".join(map(cache.__getitem__, pieces))
         except _Whole:
             return self.whole(text.decode())
 
@@ -66,3 +68,6 @@ class Encoder:
 def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder for each worker process and file."""
     return Encoder(path, spaced)
+
+
+KEPT.append(encoder.cache_clear)

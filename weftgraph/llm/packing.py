@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
     bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(RID, "doc_id", "text").mapInArrow(over_batches(work), f"{RID} long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(RID, "doc_id", "text").mapInArrow(over_batches(work, keeps=True), f"{RID} long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
