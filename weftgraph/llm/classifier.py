@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Scratch, bound_batches, over_batches, texts
 from weftgraph.llm.decontaminate import WORDS
 
-FIT_ROWS, VOCABULARY, LEAST_ROWS, MEMO = 20_000, (60, 240), 5, 50_000
+FIT_ROWS, VOCABULARY, LEAST_ROWS, MEMO = 20_000, (60, 240), 5, 200_000
 STEMS = (5, 6, 7, 8)  # bytes of the word beginnings that are features too, so that inflected words count together
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in b"#*$%&|<>@^~{}[]\\=")
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
@@ -59,7 +59,7 @@ class Model:
 
     vocabulary: dict[bytes, int]
     weights: np.ndarray
-    memo: dict[bytes, list[int]] = field(default_factory=dict)
+    memo: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
     def seen(self, words: list[bytes]) -> list[int]:
         """The features of a document's words that the vocabulary has, each once."""
@@ -69,7 +69,7 @@ class Model:
         for x in set(words):
             own = memo.get(x)
             if own is None:
-                own = memo[x] = [i for f in features_of(x) if (i := self.vocabulary.get(f)) is not None]
+                own = memo[x] = tuple(i for f in features_of(x) if (i := self.vocabulary.get(f)) is not None)
             out.update(own)
         return sorted(out)
 
