@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import binary_output, chat_snapshots, classifier, decontaminate, packing, pii, quality_rules, sharding, simhash, suffix_dedup
+from weftgraph.llm import binary_output, chat_snapshots, classifier, decontaminate, oracle, packing, pii, quality_rules, sharding, simhash, suffix_dedup
 from weftgraph.llm.common import RID, keyed, table
 
 SHARDS = 16
@@ -63,4 +63,10 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_chat_snapshots, op4_simhash, op5_decontaminate, op6_rendezvous, op7_best_fit_packing, op8_quality_classifier, op9_pii, op10_bit_planes)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": oracle.quality_sql(),
+    "op2_suffix_dedup": oracle.repeats_sql(),
+    "op3_chat_snapshots": oracle.CHATS,
+    "op5_decontaminate": oracle.contamination_sql(),
+    "op6_rendezvous": oracle.sharding_sql(SHARDS, SHARDS + 1),
+}
