@@ -181,8 +181,12 @@ def _p(q: str, t: str) -> Column:
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """__wg_h, __wg_s, n, host_post, path_post and prior of each host and path of scored (__wg_h, __wg_s, p)."""
-    paths = scored.groupBy("__wg_h", "__wg_s").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    """__wg_h, __wg_s, n, host_post, path_post and prior of each host and path of scored (__wg_h, __wg_s, p).
+
+    The sums by path are written once, since the strengths need all of them before any posterior.
+    """
+    summed = scored.groupBy("__wg_h", "__wg_s").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    paths = Scratch(scored.sparkSession).write(summed, "paths")
     hosts = paths.groupBy("__wg_h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.count(F.lit(1)).alias("hp"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     sums = ["hn", "hs", "hq", "hp", "ss", "nn"]
     total = hosts.agg(*[F.sum(x).alias(x) for x in sums], F.count(F.lit(1)).alias("h"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("hss"), F.sum(F.col("hn") * F.col("hn")).alias("hnn"), F.sum(F.col("nn") / F.col("hn")).alias("own")).first()
