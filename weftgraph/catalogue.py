@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from weftgraph.queries import ORACLE, QUERIES, audits, documents, graph
+from weftgraph.queries import ORACLE, QUERIES, audits, documents, graph, models
 
-__all__ = ["ORACLE", "QUERIES", "audits", "documents", "graph"]
+__all__ = ["ORACLE", "QUERIES", "audits", "documents", "graph", "models"]
