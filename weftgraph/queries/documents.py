@@ -69,6 +69,11 @@ def h14(t):
     return t.events.where("event_id < 0").select("event_id", jsonops.content_hash(F.col("props")).alias("hash"))
 
 
+@query("h14_canonical_hash_all", "select event_id, sha256(json(props)::varchar) as hash from events")
+def h14_all(t):
+    return t.events.select("event_id", jsonops.content_hash(F.col("props")).alias("hash"))
+
+
 @query("h16_identity_facts", "select event_id, 'k=' || json_extract_string(props, '$.k') as identity, sha256(event_type || '|k=' || json_extract_string(props, '$.k')) as fact_id, 'low' as confidence from events")
 def h16(t):
     pairs = F.from_json("props", "map<string,string>")
