@@ -2,11 +2,14 @@
 
 import hashlib
 import json
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.catalogue import QUERIES
 from weftgraph.functions import jsonops
+from weftgraph.operators import paths
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,51 @@ def test_canonical_hash(spark):
     got = spark.createDataFrame([(x,) for x in [*texts, "no", None]], "t string").select("t", jsonops.content_hash(F.col("t")).alias("h")).collect()
     want = {x: hashlib.sha256(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for x in texts}
     assert {r["t"]: r["h"] for r in got} == want | {"no": None, None: None}
+
+
+def places(spark):
+    """Customer -> nation <- supplier by real key."""
+    lives = [(f"c{r['c_custkey']}", f"n{r['c_nationkey']}") for r in table(spark, "customer").collect()]
+    return lives + [(f"s{r['s_suppkey']}", f"n{r['s_nationkey']}") for r in table(spark, "supplier").collect()]
+
+
+def all_depths(edges):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for seed in near:
+        now, depth = {seed}, 0
+        while now:
+            out |= {(seed, x): depth for x in now}
+            now, depth = {y for x in now for y in near[x] if (seed, y) not in out}, depth + 1
+    return out
+
+
+def test_distances_over_all_keys(spark):
+    depths = all_depths(places(spark))
+    far = [d for (a, b), d in depths.items() if a != b]
+    assert [tuple(r) for r in QUERIES["i21_distances"](spark, SF).collect()] == [(max(far), round(sum(far) / len(far), 2))]
+
+
+def test_cuts_over_all_keys(spark):
+    # A forest: every edge is a bridge, and nations of two or more are the cut points.
+    edges = places(spark)
+    got = QUERIES["i22_bridges_and_cut_points"](spark, SF).collect()
+    assert {(r["a"], r["b"]) for r in got if r["kind"] == "bridge"} == {(min(e), max(e)) for e in edges}
+    hubs = [b for _, b in edges]
+    assert {r["a"] for r in got if r["kind"] == "articulation"} == {n for n in hubs if hubs.count(n) > 1}
+
+
+def test_components_and_ranks_take_every_key(spark):
+    nodes = {x for e in places(spark) for x in e}
+    for name in ("i20_components_all", "i25_pagerank_all"):
+        assert {r["node"] for r in QUERIES[name](spark, SF).collect()} == nodes
+
+
+def test_distances_end_or_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    assert {(r["seed"], r["node"]): r["depth"] for r in paths.distances(chain, 5).collect()} == {(a, b): abs(a - b) for a in range(5) for b in range(5)}
+    with pytest.raises(RuntimeError):
+        paths.distances(chain, 3)

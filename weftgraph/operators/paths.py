@@ -97,13 +97,13 @@ def distances(edges: DataFrame, most: int = 1000) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     e = cut(both.select(F.col("src").alias("__s"), F.col("dst").alias("__d")))
     now = seen = cut(e.select(F.col("__s").alias("seed"), F.col("__s").alias("node"), F.lit(0).alias("depth")).distinct())
-    for k in range(1, most):
+    for k in range(1, most + 1):
         step = now.join(e, F.col("node") == F.col("__s")).select("seed", F.col("__d").alias("node")).distinct()
         now = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if now.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(now))
-    return seen
+    raise RuntimeError("the distances did not end")
 
 
 def cuts(edges: DataFrame) -> DataFrame:

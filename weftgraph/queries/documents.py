@@ -190,16 +190,31 @@ def i20(t):
     return paths.components(_sparse(t))
 
 
+#: Customer -> nation <- supplier of all rows; the node's kind is in its key, so that no two nodes share one.
+_PLACES = "select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier"
+
+
+def _places(t):
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    lives = t.customer.select(node("c", "c_custkey").alias("src"), node("n", "c_nationkey").alias("dst"))
+    based = t.supplier.select(node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst"))
+    return lives.unionByName(based).where("src is not null and dst is not null")
+
+
+@query("i20_components_all", f"with recursive e as (select * from ({_PLACES}) where src is not null and dst is not null), b as (select src, dst from e union select dst, src from e), r as (select src as node, src as lab from b union select r.node, b.dst from r join b on r.lab = b.src) select node, min(lab) as component from r group by 1")
+def i20_all(t):
+    return paths.components(_places(t))
+
+
 @query("i21_distances")
 def i21(t):
-    small = _sparse(t).where("src < 60")
-    d = paths.distances(small)
+    d = paths.distances(_places(t))
     return d.agg(F.max("depth").alias("diameter"), F.round(F.avg(F.when(F.col("seed") != F.col("node"), F.col("depth"))), 2).alias("mean_path"))
 
 
 @query("i22_bridges_and_cut_points")
 def i22(t):
-    return paths.cuts(_sparse(t))
+    return paths.cuts(_places(t))
 
 
 @query("i24_weak_links", "select l_orderkey as o, l_linenumber as n, case when l_returnflag = 'N' then 'no_lag' when l_linestatus <> 'O' then 'health' end as reason from lineitem where l_returnflag = 'N' or l_linestatus <> 'O'")
@@ -208,8 +223,8 @@ def i24(t):
     return topology.weak_links(rows).selectExpr("l_orderkey as o", "l_linenumber as n", "reason")
 
 
-def _rank_sql(turns: int) -> str:
-    out = f"with e as materialized (select distinct src, dst from ({_SPARSE})), nodes as materialized (select src as node from e union select dst from e), deg as materialized (select src, count(*) as deg from e group by 1), n as (select count(*)::double as n from nodes), r0 as materialized (select node, 1.0::double / n as rank from nodes, n)"
+def _rank_sql(turns: int, edges: str = _SPARSE) -> str:
+    out = f"with e as materialized (select distinct src, dst from ({edges})), nodes as materialized (select src as node from e union select dst from e), deg as materialized (select src, count(*) as deg from e group by 1), n as (select count(*)::double as n from nodes), r0 as materialized (select node, 1.0::double / n as rank from nodes, n)"
     for k in range(1, turns + 1):
         p = f"r{k - 1}"
         out += f", r{k} as materialized (select nodes.node, 0.15 / n + 0.85 * (select coalesce(sum(rank), 0) from {p} where node not in (select src from deg)) / n + 0.85 * coalesce(g.v, 0) as rank from nodes cross join n left join (select e.dst, sum({p}.rank / deg.deg) as v from e join {p} on {p}.node = e.src join deg on deg.src = e.src group by 1) g on g.dst = nodes.node)"
@@ -221,6 +236,11 @@ def i25(t):
     return paths.pagerank(_sparse(t), 5).select("node", F.round("rank", 8).alias("rank"))
 
 
+@query("i25_pagerank_all", _rank_sql(5, f"select * from ({_PLACES}) where src is not null and dst is not null"))
+def i25_all(t):
+    return paths.pagerank(_places(t), 5).select("node", F.round("rank", 8).alias("rank"))
+
+
 @query("j03_cell_cap", "select doc_id, octet_length(encode(text)) > 4096 as truncated, case when octet_length(encode(text)) > 4096 then octet_length(encode(text)) else 0 end::bigint as size_bytes from documents")
 def j03(t):
     c = govern.cap_cell(F.col("text"))
