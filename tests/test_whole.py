@@ -77,3 +77,20 @@ def test_distances_end_or_raise(spark):
     assert {(r["seed"], r["node"]): r["depth"] for r in paths.distances(chain, 5).collect()} == {(a, b): abs(a - b) for a in range(5) for b in range(5)}
     with pytest.raises(RuntimeError):
         paths.distances(chain, 3)
+
+
+def test_reach_of_every_supplier(spark, tmp_path):
+    # Suppliers over 3, later lines and large quantities; 9 is no line's supplier, and 4 -> 5 -> 6 -> 7 -> 8 goes past three steps.
+    step = {1: 2, 4: 5, 5: 6, 6: 7, 7: 8}
+    part = {b: next(p for p in range(1, 10) if p * 7 % 9 + 1 == b) for b in step.values()}
+    spark.createDataFrame([(i,) for i in range(1, 10)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(a, part[b], 2, 30.0) for a, b in step.items()], "l_suppkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for seed in range(1, 10):
+        at, depth = seed, 0
+        while at:
+            want[seed, at] = depth
+            at, depth = step.get(at), depth + 1
+    assert {(r["seed"], r["node"]) for r in QUERIES["f08_closure_all"](spark, str(tmp_path)).collect()} == set(want)
+    got = {(r["seed"], r["node"]): r["depth"] for r in QUERIES["c14_variable_length_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: d for k, d in want.items() if d <= 3}

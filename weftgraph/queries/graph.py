@@ -184,6 +184,25 @@ def f08(t):
     return paths.closure(_steps(t), t.supplier.where("s_suppkey <= 3").select(F.col("s_suppkey").alias("node")))
 
 
+#: The same steps over every line.
+_STEP_ALL = "select distinct l_suppkey as src, ((l_partkey * 7) % (select max(s_suppkey) from supplier)) + 1 as dst from lineitem"
+
+
+def _steps_all(t):
+    most = t.supplier.agg(F.max("s_suppkey").alias("m"))
+    return t.lineitem.join(F.broadcast(most)).select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7) % F.col("m") + 1).alias("dst")).distinct()
+
+
+@query("c14_variable_length_all", f"with recursive e as ({_STEP_ALL}), r as (select s_suppkey as seed, s_suppkey as node, 0 as depth from supplier union select seed, dst, depth + 1 from r join e on src = node where depth < 3) select seed, node, min(depth) as depth from r group by 1, 2")
+def c14_all(t):
+    return paths.hops(_steps_all(t), t.supplier.select(F.col("s_suppkey").alias("node")), 0, 3)
+
+
+@query("f08_closure_all", f"with recursive e as ({_STEP_ALL}), r as (select s_suppkey as seed, s_suppkey as node from supplier union select seed, dst from r join e on src = node) select seed, node from r")
+def f08_all(t):
+    return paths.closure(_steps_all(t), t.supplier.select(F.col("s_suppkey").alias("node")))
+
+
 @query("c16_alternated_rels", "select n_name as nation, count(*) as n from (select c_nationkey as k from customer union all select s_nationkey from supplier) join nation on n_nationkey = k group by 1")
 def c16(t):
     return cypher(t.g, "MATCH (n:Nation)<-[:LIVES_IN|BASED_IN]-(x) RETURN n.n_name AS nation, count(*) AS n")
