@@ -94,3 +94,16 @@ def test_reach_of_every_supplier(spark, tmp_path):
     assert {(r["seed"], r["node"]) for r in QUERIES["f08_closure_all"](spark, str(tmp_path)).collect()} == set(want)
     got = {(r["seed"], r["node"]): r["depth"] for r in QUERIES["c14_variable_length_all"](spark, str(tmp_path)).collect()}
     assert got == {k: d for k, d in want.items() if d <= 3}
+
+
+def test_neighbours_and_merge_over_all_orders(spark, tmp_path):
+    # Customers over 20 and orders over 400, which the subsets would leave out.
+    orders = [(500, 30), (501, 30), (502, 30), (503, 31), (1, 2), (2, 2)]
+    lines = [(500, 7, 10.0), (501, 7, 45.0), (502, 8, 40.0), (503, 7, 1.0), (503, 7, 2.0), (1, 9, 50.0), (2, 6, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in QUERIES["c18_neighbours_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((a, b) for a, c in orders for b, d in orders if c == d and a != b)
+    cust = dict(orders)
+    got = sorted(tuple(r) for r in QUERIES["d04_merge_edges_all"](spark, str(tmp_path)).select("src", "dst").collect())
+    assert got == sorted({(cust[o], s) for o, s, _ in lines})

@@ -220,6 +220,12 @@ def c18(t):
     return a.join(b, "k").where("a <> b").select("a", "b")
 
 
+@query("c18_neighbours_all", "select a.o_orderkey as a, b.o_orderkey as b from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey")
+def c18_all(t):
+    a, b = t.orders.selectExpr("o_orderkey as a", "o_custkey as k"), t.orders.selectExpr("o_orderkey as b", "o_custkey as k")
+    return a.join(b, "k").where("a <> b").select("a", "b")
+
+
 @query("c19_derived_edge", "select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on l_orderkey = o_orderkey")
 def c19(t):
     return t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
@@ -252,6 +258,12 @@ def d04(t):
     return upsert.merge_edges(e.where("o_orderkey < 400").select("src", "dst").distinct(), e.where("l_quantity > 40").select("src", "dst"))
 
 
+@query("d04_merge_edges_all", "select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on l_orderkey = o_orderkey")
+def d04_all(t):
+    e = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey as src", "l_suppkey as dst", "l_quantity")
+    return upsert.merge_edges(e.where("l_quantity <= 40 or l_quantity is null").select("src", "dst").distinct(), e.where("l_quantity > 40").select("src", "dst"))
+
+
 @query("d06_keep_first", "select s_suppkey as k, case when s_suppkey % 2 = 0 then s_name else 'new' end as first_name, 'new' as name from supplier")
 def d06(t):
     old = t.supplier.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("first_name"), F.col("s_name").alias("name"))
