@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.catalogue import QUERIES
 from weftgraph.functions import jsonops
-from weftgraph.operators import paths
+from weftgraph.operators import govern, paths
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +107,28 @@ def test_neighbours_and_merge_over_all_orders(spark, tmp_path):
     cust = dict(orders)
     got = sorted(tuple(r) for r in QUERIES["d04_merge_edges_all"](spark, str(tmp_path)).select("src", "dst").collect())
     assert got == sorted({(cust[o], s) for o, s, _ in lines})
+
+
+def capped(docs, most):
+    out, total = set(), None
+    for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        total = total if text is None else (total or 0) + len(text.encode())
+        if total is not None and total <= most:
+            out.add((i, total))
+    return out
+
+
+def test_byte_cap_over_all_documents(spark, tmp_path):
+    # Ids from 2000 on, and 2,000 null or empty texts in front.
+    docs = [(2000 + i, None if i < 1000 else "") for i in range(2100)] + [(9000 + 7 * i, "\u00e9" * 600) for i in range(100)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["running_bytes"]) for r in QUERIES["j04_byte_cap"](spark, str(tmp_path)).collect()}
+    assert got == capped(docs, govern.BYTES) and max(b for _, b in got) > 48_000
+
+
+@pytest.mark.parametrize("docs", [[], [(None, "abc"), (5, "x" * 4), (-(2**63), "yy"), (2**63 - 1, "z")], [(1, None), (2, None)], [(1, "x" * 99)]])
+def test_byte_cap_edges(spark, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (0, 3, 6, 8, 50):
+        got = {tuple(r) for r in govern.cap_bytes_by_id(frame, "doc_id", F.col("text"), most, 3, 1).select("doc_id", "running_bytes").collect()}
+        assert got == capped(docs, most)

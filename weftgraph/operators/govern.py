@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -25,6 +26,43 @@ def cap_bytes(rows: DataFrame, order: Sequence[Column], text: Column, most: int)
     return rows.withColumn("running_bytes", size).where(F.col("running_bytes") <= most)
 
 
+def cap_bytes_by_id(rows: DataFrame, id_col: str, text: Column, most: int, ranges: int = 1000, few: int = HARD) -> DataFrame:
+    """cap_bytes over a table of any size in the order of a whole-number id, nulls last.
+
+    Sizes are summed by ranges of ids; the one range that crosses the cap is split until it holds few rows, so that
+    no task sorts more than a range.
+    """
+    own = rows.withColumn("__size", F.octet_length(text).cast("long"))
+    lo, hi = own.agg(F.min(id_col), F.max(id_col)).first()
+    lo, hi = (0, 0) if lo is None else (lo, hi + 1)  # null ids stand at hi
+    own = own.withColumn("__k", F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(Decimal(hi))))
+    parts, before = [], None  # before: bytes ahead of the range; none as long as every text is null
+    while True:
+        width = max(1, -(-(hi - lo + 1) // ranges))
+        at = F.expr(f"(__k - cast('{lo}' as decimal(20,0))) div cast('{width}' as decimal(20,0))")
+        sums = own.where(F.col("__k").between(F.lit(lo).cast("decimal(20,0)"), F.lit(Decimal(hi)))).groupBy(at.alias("at")).agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        crossing = None
+        for r in sorted(sums):
+            a, z = lo + r["at"] * width, min(hi, lo + (r["at"] + 1) * width - 1)
+            if (before or 0) + (r["size"] or 0) > most:
+                crossing = (a, z, r["n"])
+                break
+            parts.append((a, z, before))
+            before = before if r["size"] is None else (before or 0) + r["size"]
+        if crossing is None:
+            break
+        lo, hi, n = crossing
+        if n <= few or width == 1:
+            parts.append((lo, hi, before))
+            break
+    kept = rows.sparkSession.createDataFrame([(Decimal(a), Decimal(z), b) for a, z, b in parts], "__a decimal(20,0), __z decimal(20,0), __before long")
+    w = Window.partitionBy("__a").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    got = own.join(F.broadcast(kept), F.col("__k").between(F.col("__a"), F.col("__z")))
+    size = F.sum("__size").over(w)
+    total = F.when(F.col("__before").isNull(), size).otherwise(F.col("__before") + F.coalesce(size, F.lit(0)))
+    return got.withColumn("running_bytes", total).where(F.col("running_bytes") <= most).drop("__size", "__k", "__a", "__z", "__before")
+
+
 def page(rows: DataFrame, order: Sequence[Column], offset: int, size: int) -> DataFrame:
     """A page with ``has_more``, from one row more than asked for."""
     got = rows.orderBy(*order).offset(offset).limit(size + 1)

@@ -251,8 +251,7 @@ def j03(t):
 
 @query("j04_byte_cap", "select doc_id, s::bigint as running_bytes from (select doc_id, sum(octet_length(encode(text))) over (order by doc_id) as s from documents where doc_id < 2000) where s <= 50000")
 def j04(t):
-    few = t.documents.where("doc_id < 2000").orderBy("doc_id").limit(govern.HARD)
-    return govern.cap_bytes(few, [F.col("doc_id")], F.col("text"), govern.BYTES).select("doc_id", "running_bytes")
+    return govern.cap_bytes_by_id(t.documents, "doc_id", F.col("text"), govern.BYTES).select("doc_id", "running_bytes")
 
 
 @query("j12_stale_count", "select count(*) as n, sum(case when epoch_us(m) // 1000000 - epoch_us(ts) // 1000000 > 900 then 1 else 0 end)::bigint as stale from events, (select max(ts) as m from events)")
