@@ -67,28 +67,28 @@ class WuManber:
                 end += 1
 
 
-def _pattern_blocks(benchmark: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, int]:
+def _pattern_blocks(benchmark: DataFrame, scratch: Scratch, most: int, unnamed: bool) -> tuple[DataFrame, int]:
     """Distinct windows with their items, dealt to numbered blocks of about ``most`` patterns."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [(b" ".join(w), i) for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for w in set(windows_of(words_of(t)))]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], names=["pattern", "item"])
 
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    items = (benchmark if unnamed else benchmark.where(F.col("item_id").isNotNull())).select(F.col("item_id").cast("string").alias("item"), "text")
     rows = scratch.write(items.mapInArrow(over_batches(work), "pattern binary, item string").distinct(), "patterns")
     n = rows.count()
     blocks = max(1, -(-n // most))
     return rows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))), blocks
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS) -> list[DataFrame]:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> list[DataFrame]:
     """One frame for each block of patterns: docs' columns plus __wg_n (words), __wg_hit (runs of hit words as
     first, end pairs) and __wg_items (items found, as strings).
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
-    rows, blocks = _pattern_blocks(benchmark, scratch, block_patterns)
+    rows, blocks = _pattern_blocks(benchmark, scratch, block_patterns, unnamed)
     schema = docs.select("*", F.lit(0).cast("long").alias("__wg_n"), F.array(F.lit(0)).alias("__wg_hit"), F.array(F.lit("")).alias("__wg_items")).schema
     place = docs.columns.index("text")
     out = []
@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_patterns: int = P
                 words = words_of(t)
                 runs, found = [], set()
                 for k, first, m in finder.search(words):
-                    found.update(owners[k])
+                    found.update(i for i in owners[k] if i is not None)
                     runs.append((first, first + m))
                 count.append(len(words))
                 hits.append(merged([x for run in runs for x in run]))
@@ -127,15 +127,16 @@ def covered(runs: list[list[int]] | np.ndarray) -> int:
     return total
 
 
-def report(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> DataFrame:
     """Each row's doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_runs.
 
-    Null texts have no words and are never contaminated; benchmark rows without an item_id are ignored, and
-    items with equal ids count once. An empty benchmark hits nothing. Equal rows are reported one by one.
+    Null texts have no words and are never contaminated; items with equal ids count once. With
+    ``unnamed``, windows of benchmark rows without an item_id count in n_hit, hit_runs and contaminated, and only the
+    missing id is left out of n_items and items_sha256; otherwise such rows are ignored. An empty benchmark hits nothing. Equal rows are reported one by one.
     """
 
     have = keyed(docs.select("doc_id", "text"))
-    parts = [p.select(RID, "doc_id", "__wg_n", "__wg_hit", "__wg_items") for p in contamination(have, benchmark, block_patterns)]
+    parts = [p.select(RID, "doc_id", "__wg_n", "__wg_hit", "__wg_items") for p in contamination(have, benchmark, block_patterns, unnamed)]
     if len(parts) == 1:
         one = parts[0]
     else:
@@ -164,13 +165,13 @@ def merged(runs) -> list[int]:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> DataFrame:
     """docs without contaminated rows; all columns stay."""
-    parts = contamination(docs, benchmark, block_patterns)
+    parts = contamination(docs, benchmark, block_patterns, unnamed)
     if len(parts) == 1:
         hit = _hit_words("__wg_hit")
         return parts[0].where(~((hit > 0) & (20 * hit >= F.col("__wg_n")))).select(*docs.columns)
     have = keyed(docs)
-    flagged = report(have.withColumn("doc_id", F.col(RID)), benchmark, block_patterns).where("contaminated").select(F.col("doc_id").alias(RID))
+    flagged = report(have.withColumn("doc_id", F.col(RID)), benchmark, block_patterns, unnamed).where("contaminated").select(F.col("doc_id").alias(RID))
     return have.join(flagged, RID, "left_anti").select(*docs.columns)
 
