@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import delete, shared_folder
+
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
