@@ -38,35 +38,52 @@ def render(turns: list[tuple[str | None, str | None]], template: str = TEMPLATE)
 
 def assemble(rows: DataFrame) -> DataFrame:
     """conv_id and ``turns``, in order of turn, role and text. Turns with a null conv_id are no conversation;
-    null turn numbers come first; equal rows count as often as they are there."""
+    null turn numbers come first; equal rows count as often as they are there. One row holds one conversation,
+    as its rendering does."""
     kept = rows.where(F.col("conv_id").isNotNull()).select("conv_id", F.struct("turn", "role", "text").alias("t"))
     return kept.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
+def _pairs(turns: list[dict]) -> list[tuple[str | None, str | None]]:
+    return [(t["role"], t["text"]) for t in turns]
+
+
+def rolled(rows: DataFrame) -> DataFrame:
+    """conv_id, n_turns, ``last`` (the hash of all turns) and ``inner`` (those of its proper prefixes): 16 bytes a turn, no texts."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        each = [turn_hashes(_pairs(turns)) for turns in batch.column(1).to_pylist()]
+        n, last, inner = [len(h) for h in each], [h[-1] for h in each], [h[:-1] for h in each]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(last, pa.binary()), pa.array(inner, pa.list_(pa.binary()))], names=["conv_id", "n_turns", "last", "inner"])
+
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return assemble(rows).mapInArrow(over_batches(work), f"conv_id {kind}, n_turns long, last binary, inner array<binary>")
+
+
+def rendered(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """conv_id and ``rendered`` of every conversation of rows."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shown = [render(_pairs(turns), template) for turns in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string())], names=["conv_id", "rendered"])
+
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return assemble(rows).mapInArrow(over_batches(work), f"conv_id {kind}, rendered string")
+
+
 def maximal(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """conv_id, n_turns, n_copies and rendered text of the conversations that no other extends.
 
-    n_copies counts equal conversations (itself included). An empty table gives an empty table; other columns of
-    rows are ignored.
+    n_copies counts equal conversations (itself included). Hashes alone decide which stay; only those that stay are
+    read again and rendered, so that a log with a snapshot for each turn isn't written out once for each of them.
+    An empty table gives an empty table; other columns of rows are ignored.
     """
     spark = rows.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
-    kind = rows.schema["conv_id"].dataType.simpleString()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, last, inner, shown = [], [], [], []
-        for turns in batch.column(1).to_pylist():
-            pairs = [(t["role"], t["text"]) for t in turns]
-            hashes = turn_hashes(pairs)
-            n.append(len(pairs))
-            last.append(hashes[-1])
-            inner.append(hashes[:-1])
-            shown.append(render(pairs, template))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(last, pa.binary()), pa.array(inner, pa.list_(pa.binary())), pa.array(shown, pa.string())], names=["conv_id", "n_turns", "last", "inner", "rendered"])
-
-    made = scratch.write(assemble(rows).mapInArrow(over_batches(work), f"conv_id {kind}, n_turns long, last binary, inner array<binary>, rendered string"), "rolled")
-    ends = made.groupBy("last").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    made = scratch.write(rolled(rows), "rolled")
+    ends = made.groupBy("last").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.count(F.lit(1)).alias("n_copies"))
     inner = made.select(F.explode("inner").alias("last")).distinct()
-    chosen = ends.join(inner, "last", "left_anti").select("conv_id", "n_copies")
-    return made.join(chosen, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    chosen = scratch.write(ends.join(inner, "last", "left_anti").select("conv_id", "n_turns", "n_copies"), "chosen")
+    kept = rendered(rows.join(chosen.select("conv_id"), "conv_id", "left_semi"), template)
+    return chosen.join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
