@@ -1,7 +1,9 @@
 """Quality classifier: document evidence shrunk towards its site by hierarchical empirical Bayes.
 
 Two logistic models over words and style, fitted on a bounded sample of labelled documents, say how likely a
-document is of good quality and how likely it is toxic; both together are its evidence. Evidence is summed by
+document is of good quality and how likely it is toxic; both together are its evidence. A word is a feature of
+the one that it tells about with at least EVIDENCE standard deviations; how many there are follows from the sample.
+Every document is scored once and its evidence written. Evidence is summed by
 path within host and by host over all documents. Strengths of shrinkage come from the spread between hosts and
 between the paths of a host (method of moments): a host's posterior leans on the global prior, a path's on its
 host's, the more so the fewer documents there are. A document's log odds move by what its path's posterior has
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Scratch, bound_batches, over_batches, texts
 from weftgraph.llm.decontaminate import WORDS
 
-FIT_ROWS, VOCABULARY, LEAST_ROWS, MEMO = 20_000, (60, 240), 5, 200_000
+FIT_ROWS, EVIDENCE, LEAST_ROWS, MEMO = 20_000, 4.5, 5, 200_000
 STEMS = (5, 6, 7, 8)  # bytes of the word beginnings that are features too, so that inflected words count together
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in b"#*$%&|<>@^~{}[]\\=")
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
@@ -104,33 +106,35 @@ def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, own: np.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: tuple[int, int] = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, deviations: float = EVIDENCE) -> Model:
     """The model from at most ``fit_rows`` labelled documents, those with the least MD5 of their id.
 
-    A document with several labels takes the lowest quality and the highest toxicity; labels with nulls are left
-    out. With labels of one class only the model says that class; without labels it keeps every document.
+    A document with several labels takes the lowest quality and the highest toxicity, labels with nulls are left out,
+    and of rows that share an id the least text is taken. With labels of one class only the model says that class; without labels it keeps every document.
     """
     bound_batches(docs.sparkSession)
     whole = labels.where("doc_id is not null and quality is not null and toxic is not null")
     once = whole.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     sample = once.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by fit_rows
+    scratch = Scratch(docs.sparkSession)
+    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample is bounded by fit_rows
+    chosen = scratch.write(held.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")), "sample")
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [list({f for x in set(t.translate(WORDS).split()) if len(x) <= 64 for f in features_of(x)}) for t in texts(batch.column(1))]
+        got = [list({f for x in set(t.translate(WORDS).split()) for f in features_of(x)}) for t in texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(got, pa.list_(pa.binary()))], names=["quality", "toxic", "words"])
 
     split = chosen.select("doc_id", "text", "quality", "toxic").mapInArrow(over_batches(words), "quality int, toxic int, words array<binary>")
     rows, bad, toxic = chosen.agg(F.count(F.lit(1)), F.sum(1 - F.col("quality")), F.sum("toxic")).first()
     of = split.select("quality", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("bad"), F.sum("toxic").alias("toxic"))
-    of = Scratch(docs.sparkSession).write(of.where(F.col("n") >= LEAST_ROWS), "words")
+    of = scratch.write(of.where(F.col("n") >= LEAST_ROWS), "words")
     vocab: dict[bytes, int] = {}
     heads: list[set[int]] = [set(), set()]
     for k, (name, total) in enumerate((("bad", bad), ("toxic", toxic))):
         if rows and total and total < rows:
             p = total / rows
             z = F.abs(F.col(name) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-            for r in of.orderBy(z.desc(), "word").limit(vocabulary[k]).collect():
+            for r in of.where(z >= deviations).select("word").orderBy("word").collect():  # features of at most fit_rows texts
                 heads[k].add(vocab.setdefault(bytes(r["word"]), len(vocab)))
     lexicon = Model(vocab, np.zeros((2, 0)))
 
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """docs, with all its columns, plus __wg_q and __wg_t: log odds of good quality and of toxicity."""
     place = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most sum(VOCABULARY) words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of at most fit_rows texts
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([shared.value.odds(t) for t in texts(batch.column(place))]).reshape(-1, 2)
@@ -212,28 +216,35 @@ def sites(scored: DataFrame) -> DataFrame:
     return out.select("__wg_h", "__wg_s", "n", "host_post", F.when(F.col("__wg_h") == "", F.lit(mean)).otherwise(path).alias("path_post"), F.lit(mean).alias("prior"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs with __wg_pq, __wg_pt, __wg_site and __wg_p: quality, toxicity, the path's posterior, and the whole.
-
-    Null and empty texts have no words and go by style and site. Rows without a source keep the global prior.
-    Each row is judged alone; equal rows get equal results. An empty table gives an empty table.
-    """
-    scratch = Scratch(docs.sparkSession)
-    model = fit(docs, labels, fit_rows)
+def _placed(docs: DataFrame, model: Model) -> DataFrame:
     host, path = host_and_path(docs)
-    scored = evidence(docs, model).withColumns({"__wg_h": host, "__wg_s": path})
+    return evidence(docs, model).withColumns({"__wg_h": host, "__wg_s": path})
+
+
+def posteriors(scored: DataFrame) -> DataFrame:
+    """scored (written: __wg_q, __wg_t, __wg_h, __wg_s and more) with __wg_pq, __wg_pt, __wg_site and __wg_p."""
+    scratch = Scratch(scored.sparkSession)
     table = scratch.write(sites(scored.select("__wg_h", "__wg_s", _p("__wg_q", "__wg_t").alias("p"))), "sites")
     few = table.select("__wg_h", "__wg_s", F.col("path_post").alias("__wg_site"), F.col("prior").alias("__wg_prior"))
-    joined = scored.join(few, ["__wg_h", "__wg_s"])
     odds = _logit(_p("__wg_q", "__wg_t")) + _logit(F.col("__wg_site")) - _logit(F.col("__wg_prior"))
-    return joined.select(*[F.col(c) for c in docs.columns], (1 / (1 + F.exp(-F.col("__wg_q")))).alias("__wg_pq"), (1 / (1 + F.exp(-F.col("__wg_t")))).alias("__wg_pt"), "__wg_site", (1 / (1 + F.exp(-odds))).alias("__wg_p"))
+    rows = scored.join(few, ["__wg_h", "__wg_s"])
+    return rows.withColumns({"__wg_pq": 1 / (1 + F.exp(-F.col("__wg_q"))), "__wg_pt": 1 / (1 + F.exp(-F.col("__wg_t"))), "__wg_p": 1 / (1 + F.exp(-odds))})
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
-    rows = classified(docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]), labels, fit_rows)
+    """doc_id, p_quality, p_toxic, p_site (the path's posterior), p_keep and kept of each row of docs.
+
+    Null and empty texts have no words and go by style and site. Rows without a source keep the global prior.
+    Each row is judged alone; equal rows get equal results, rows that share an id one result each. An empty table
+    gives an empty table; columns other than doc_id, text, lang and source are ignored.
+    """
+    rows = docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])
+    scored = _placed(rows, fit(docs, labels, fit_rows)).select("doc_id", "__wg_q", "__wg_t", "__wg_h", "__wg_s")
+    rows = posteriors(Scratch(docs.sparkSession).write(scored, "scored"))
     return rows.select("doc_id", F.col("__wg_pq").alias("p_quality"), F.col("__wg_pt").alias("p_toxic"), F.col("__wg_site").alias("p_site"), F.col("__wg_p").alias("p_keep"), (F.col("__wg_p") >= threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs without the rows that the classifier rejects; all columns stay."""
-    return classified(docs, labels, fit_rows).where(F.col("__wg_p") >= threshold).select(*docs.columns)
+    """docs without the rows that the classifier rejects; all columns stay. Cases are as in ``report``."""
+    scored = Scratch(docs.sparkSession).write(_placed(docs, fit(docs, labels, fit_rows)), "scored")
+    return posteriors(scored).where(F.col("__wg_p") >= threshold).select(*docs.columns)
