@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.session import delete, shared_folder
+
 RID = "__wg_rid"
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -32,16 +32,11 @@ def bound_batches(spark: SparkSession, mb: int = 4) -> None:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder is used.
+    The folder is one of ``spark.checkpoint.dir``'s own, deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            base = tempfile.mkdtemp(prefix="weftgraph-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.base = f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, shared_folder(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -49,13 +44,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.base}/{name}")
 
     def release(self) -> None:
-        """Let the driver forget shuffles that no plan refers to, so that executors delete their files."""
+        """Let the driver forget shuffles that no plan refers to, so that executors delete their files.
+
+        Spark deletes a shuffle's files when its plan is collected on the driver, which a driver with a calm heap may
+        not do for the whole of a job; a job of many large shuffles would hold all of them on disk at once.
+        """
         import gc
 
         gc.collect()

@@ -1,10 +1,16 @@
 """PII: personal data by pattern, and information-theoretic sanitisation of the terms that give it away.
 
-The values that the patterns find are the protected entities. Over the whole corpus, the documents that hold a
-term and those that hold an entity tell how strongly the term reveals the entity: the share of the term's
-documents that hold the entity, and the gain over the entity's own share in bits. A term over both thresholds,
-seen with the entity in enough documents, is a span of kind ``term`` wherever it stands, unless a pattern's span
-holds it already. All of it is DataFrame expressions.
+The values that the patterns find are the protected entities. Over the whole corpus, the texts that hold a term and
+those that hold an entity tell how strongly the term reveals the entity. Equal texts are one observation: a page
+that was copied a thousand times says no more about who stands beside whom than the page does. The share of a
+term's texts that hold the entity is bounded from below (Wilson's bound, one-sided, 95 %), and a term whose bound is
+``share`` or more, at a gain of ``gain_bits`` or more over the entity's own share, is a span of kind ``term`` wherever
+it stands, unless a pattern's span holds it already.
+
+The threshold comes from a stated risk: a reader who sees the term and guesses the entity must not be right more
+often than wrong, so that ``share`` is one half. No entity is left out by a count of its own; the bound reaches one
+half with three texts of three, six of seven or nine of twelve, whatever the size of the corpus. All of it is
+DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ TERM_LETTERS = r"[^\x00-\x60\x7B-\x7F]"
 TERM = TERM_LETTERS + r"{4,}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-SUPPORT, SHARE, GAIN_BITS, BROADCAST_TERMS = 5, 0.8, 4.0, 100_000
+SHARE, GAIN_BITS, Z, BROADCAST_BYTES = 0.5, 4.0, 1.645, 4 << 20
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -87,34 +93,56 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0)))
 
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, scratch: Scratch, support: int = SUPPORT, share: float = SHARE, gain_bits: float = GAIN_BITS) -> DataFrame:
-    """``term`` and its strongest ``share`` and ``gain`` in bits, from all documents (docs: RID, text; spans: RID, spans)."""
-    values = spans.select(RID, F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.translate(s["value"], UPPER, LOWER))))).alias("entity"))
-    often = values.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    held = scratch.write(values.join(often, "entity"), "entities")
-    of = docs.join(held.groupBy(RID).agg(F.collect_list(F.struct("entity", "n_entity")).alias("e")), RID)
-    pairs = of.select(F.explode("e").alias("e"), _terms(F.col("text")).alias("terms")).select("e.entity", "e.n_entity", F.explode("terms").alias("term"))
-    both = scratch.write(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity")).where(F.col("n_both") >= support), "both")
-    wanted = both.select("term").distinct()
-    every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
-    counted = both.join(every.join(wanted, "term"), "term")
-    p = F.col("n_both") / F.col("n_term")
-    gain = F.log2(p * F.lit(float(total)) / F.col("n_entity"))
-    over = counted.select("term", p.alias("share"), gain.alias("gain")).where((F.col("share") >= share) & (F.col("gain") >= gain_bits))
+def lower_bound(k: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share seen as k of n."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _observed(docs: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs without the rows whose text an earlier row has, by 64-bit hashes that base holds as ``t``."""
+    copied = base.groupBy("t").agg(F.min(RID).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "first")
+    later = scratch.write(base.select(RID, "t").join(copied, "t").where(F.col(RID) != F.col("first")).select(RID), "later")
+    return docs.join(later, RID, "left_anti")
+
+
+def revealing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, share: float = SHARE, gain_bits: float = GAIN_BITS) -> DataFrame:
+    """``term`` and its strongest ``share`` (lower bound) and ``gain`` in bits, from all distinct texts.
+
+    docs: RID, text; base: RID, t (hash of the text), spans. A term with more than twice the texts of an entity can't
+    reach a share of one half with it, nor in general one with over 1 / share times as many; such pairs aren't made, so
+    that a long text of many entities pairs them only with its rare terms.
+    """
+    observed = _observed(docs, base, scratch)
+    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.translate(s["value"], UPPER, LOWER)))
+    held = base.where(F.size("spans") > 0).groupBy("t").agg(F.min(RID).alias(RID), F.first("spans").alias("spans")).select(RID, F.explode(F.array_distinct(entity)).alias("entity"))
+    held = scratch.write(held, "held")
+    least = next((n for n in range(1, 10_000) if n / (n + Z * Z) >= share), 1 << 62)  # with fewer texts the bound is below share even for n of n
+    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= least)
+    lists = scratch.write(held.join(often, "entity").groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("n_entity", "entity"))).alias("e")), "lists")
+    counts = observed.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= least)
+    near = observed.join(lists.select(RID, F.array_max("e")["n_entity"].alias("most")), RID).select(RID, "most", F.explode(_terms(F.col("text"))).alias("term"))
+    rare = near.join(scratch.write(counts, "counts"), "term").where(F.col("n_term") * share <= F.col("most")).select(RID, "term", "n_term")
+    may = F.filter("e", lambda e: e["n_entity"] >= F.col("n_term") * share)
+    pairs = rare.join(lists, RID).select("term", "n_term", F.explode(may).alias("e")).select("term", "n_term", "e.n_entity", "e.entity")
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    bound, total = lower_bound(F.col("n_both"), F.col("n_term")), observed.count()
+    gain = F.log2(F.col("n_both") / F.col("n_term") * F.lit(float(total)) / F.col("n_entity"))
+    over = both.select("term", bound.alias("share"), gain.alias("gain")).where((F.col("share") >= share) & (F.col("gain") >= gain_bits))
     return over.groupBy("term").agg(F.max("share").alias("share"), F.max("gain").alias("gain"))
 
 
-def spans_of(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, gain_bits: float = GAIN_BITS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def spans_of(docs: DataFrame, share: float = SHARE, gain_bits: float = GAIN_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """RID and ``spans`` (start, kind, end, value), in order, of each row of docs (RID, text). A null text is empty."""
     scratch = Scratch(docs.sparkSession)
     whole = docs.select(RID, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = scratch.write(whole.select(RID, base_spans(F.col("text")).alias("spans")), "base")
-    terms = scratch.write(revealing_terms(whole, base, scratch, support, share, gain_bits), "terms").select("term")
-    n = terms.count()
-    if not n:
+    base = scratch.write(whole.select(RID, F.xxhash64("text").alias("t"), base_spans(F.col("text")).alias("spans")), "base")
+    terms = scratch.write(revealing_terms(whole, base, scratch, share, gain_bits), "terms").select("term")
+    base = base.drop("t")
+    size = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0]
+    if not size:
         return base
-    listed = F.broadcast(terms) if n <= broadcast_terms else terms
+    listed = F.broadcast(terms) if size <= broadcast_bytes else terms
     hits = whole.select(RID, F.explode(_terms(F.col("text"))).alias("term")).join(listed, "term").groupBy(RID).agg(F.array_join(F.array_sort(F.collect_list("term")), "|").alias("any"))
     pattern = F.concat(F.lit(f"(?<!{TERM_LETTERS})(?:"), F.col("any"), F.lit(f")(?!{TERM_LETTERS})"))
     low = F.translate(F.col("text"), UPPER, LOWER)
@@ -131,7 +159,7 @@ def _named(spans: Column) -> Column:
 def report(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256 and spans of each row of docs.
 
-    A null or empty text has no spans. Equal rows count as documents of their own and get equal spans. An empty
+    A null or empty text has no spans. Equal texts count once as evidence and get equal spans. An empty
     table gives an empty table; other columns of docs are ignored.
     """
     have = keyed(docs.select("doc_id", "text"))
