@@ -67,12 +67,28 @@ def test_quality(docs, empty):
 
 def test_line_rules():
     keep = "A plain line of words that ends as it should.\n" + words(9, 40) + "."
-    n, *_, kept, lost, left = quality_rules.judge((keep + "\nHome | About | Contact | Help\nRead our Privacy Policy").encode())
-    assert kept and left.decode() == keep and lost == 11
-    for bad in ("BUY NOW THIS IS LOUD TEXT", "a!! b!! c!! d!! e!!", "## $$ %% && ** ||", "home | news | sport"):
+    n, *_, kept, lost, boiler, nav, punct, left = quality_rules.judge((keep + "\nHome | About | Contact | Help\nread on about this and that").encode())
+    assert kept and left.decode() == keep and (lost, boiler, nav, punct) == (13, 0, 1, 1)
+    for bad in ("BUY NOW THIS IS LOUD TEXT.", "a!! b!! c!! d!! e!!", "## $$ %% && **.", "home | news | sport", "no end of a line here"):
         assert quality_rules.line_fault(bad.encode(), bad.encode().split())
-    most = (keep + "\n" + "\n".join("click here " + words(50 + i, 20) for i in range(9))).encode()
-    assert not quality_rules.judge(most)[6]
+    for good in ("Short heading", "This is one plain sentence, said once.", "« Une phrase entière, avec sa fin. »", "He said that it was “so.”"):
+        assert not quality_rules.line_fault(good.encode(), good.encode().split())
+
+
+def test_learnt_boilerplate(spark):
+    """A line in ten texts among ever other lines is boilerplate; copies' and near copies' lines aren't."""
+    line = "Share this page 12 with your friends."
+    spread = [f"{words(800 + i, 14)}.\n{line.replace('12', str(i))}\n{words(900 + i, 14)}." for i in range(10)]
+    body = [f"{words(700 + k, 12)}." for k in range(12)]
+    copies = ["\n".join(body)] * 15
+    near = ["\n".join([*body[:k], f"{words(600 + k, 12)}.", *body[k + 1 :]]) for k in range(12)]
+    nine = [f"{words(200 + i, 14)}.\nOnly nine texts have this line.\n{words(300 + i, 14)}." for i in range(9)]
+    rows = list(enumerate([*spread, *copies, *near, *nine, None, ""]))
+    got = {r["doc_id"]: r for r in quality_rules.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i]["n_boilerplate"] == (i < 10), text
+        assert got[i]["clean_text"] == "\n".join(x for x in (text or "").split("\n") if not (i < 10 and x.startswith("Share")))
+        assert got[i]["kept"] == bool(text)
 
 
 @pytest.mark.parametrize("cap", [1, 3, 32_768])

@@ -21,31 +21,36 @@ def quoted(values: list[str]) -> str:
 
 
 def quality_sql(lost_share: float = quality_rules.LOST_SHARE) -> str:
-    width = quality_rules.WINDOW
+    width, rules = quality_rules.WINDOW, quality_rules
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS words FROM documents),
-    lines AS (SELECT doc_id, ln, line, regexp_extract_all(line, '{SPACED}') AS words, {low("line")} AS lowered
-              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d)),
-    told AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY ln) > 1 AS again, len(words) AS n,
-                    len(list_filter(words, lambda w: list_contains({quoted(quality_rules.NAVIGATION)}, w))) AS marks,
+    lines AS (SELECT doc_id, text, ln, line, regexp_extract_all(line, '{SPACED}') AS words, translate(line, '{UPPER}0123456789', '{LOWER}0000000000') AS normal
+              FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d)),
+    wordy AS (SELECT *, lag(normal) OVER (PARTITION BY doc_id ORDER BY ln) AS above, lead(normal) OVER (PARTITION BY doc_id ORDER BY ln) AS below FROM lines WHERE len(words) > 0),
+    common AS (SELECT normal FROM (SELECT normal, above, below, count(DISTINCT text) AS n FROM wordy WHERE len(words) >= {rules.LINE_WORDS} GROUP BY ALL)
+               GROUP BY normal HAVING sum(n) >= {rules.LINE_TEXTS} AND count(*) >= {rules.LINE_SPREAD} * sum(n)),
+    told AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY ln) > 1 AS again, len(words) AS n, normal IN (SELECT normal FROM common) AND len(words) >= {rules.LINE_WORDS} AS known,
+                    len(list_filter(words, lambda w: list_contains({quoted(rules.NAVIGATION)}, w))) AS marks,
                     len(list_filter(words, lambda w: regexp_matches(w, '[!?][!?]$'))) AS shouts,
+                    len(list_filter({quoted(rules.ENDS)}, lambda e: ends_with(words[-1], e))) AS ends,
                     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
                     length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper_n, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lower_n
-             FROM lines WHERE len(words) > 0),
-    judged AS (SELECT doc_id, n, again, again OR len(list_filter({quoted(quality_rules.BOILERPLATE)}, lambda b: contains(lowered, b))) > 0
-                      OR (marks >= 2 AND 3 * marks >= n)
-                      OR (n >= 5 AND (4 * symbols > n OR 2 * shouts > n OR 5 * upper_n > 4 * (upper_n + lower_n))) AS fails FROM told),
-    per_line AS (SELECT doc_id, count(*) FILTER (again) AS dups, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY doc_id),
+             FROM wordy),
+    judged AS (SELECT doc_id, n, again, CASE WHEN known THEN 'b' WHEN marks >= 2 AND 3 * marks >= n THEN 'n'
+                      WHEN n >= 5 AND (ends = 0 OR 4 * symbols > n OR 2 * shouts > n OR 5 * upper_n > 4 * (upper_n + lower_n)) THEN 'p' END AS fault FROM told),
+    per_line AS (SELECT doc_id, count(*) FILTER (again) AS dups, coalesce(sum(n) FILTER (fault IS NOT NULL), 0) AS lost,
+                        count(*) FILTER (fault = 'b') AS b, count(*) FILTER (fault = 'n') AS nav, count(*) FILTER (fault = 'p') AS p FROM judged GROUP BY doc_id),
     spots AS (SELECT doc_id, unnest(range(1, len(words) - {width - 2})) AS i, words FROM d WHERE len(words) >= {width}),
     windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {width - 1}], ' ')) AS times FROM spots),
     repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range({width}) AS r(k) WHERE times > 1 GROUP BY doc_id),
     base AS (SELECT d.doc_id, len(d.words) AS n_words, length(array_to_string(d.words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-                    coalesce(dups, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lost, 0) AS n_lost_words
+                    coalesce(dups, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lost, 0) AS n_lost_words, coalesce(b, 0) AS b, coalesce(nav, 0) AS nav, coalesce(p.p, 0) AS p
              FROM d LEFT JOIN per_line p ON d.doc_id = p.doc_id LEFT JOIN repeats r ON d.doc_id = r.doc_id),
-    failed AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_SHARE} * n_words AS base_failed FROM base)
+    failed AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_SHARE} * n_words AS base_failed FROM base)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
            CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-           NOT base_failed AND n_lost_words <= {lost_share} * n_words AS kept, CAST(n_lost_words AS BIGINT) AS n_lost_words
+           NOT base_failed AND n_lost_words <= {lost_share} * n_words AS kept, CAST(n_lost_words AS BIGINT) AS n_lost_words,
+           CAST(b AS BIGINT) AS n_boilerplate, CAST(nav AS BIGINT) AS n_navigation, CAST(p AS BIGINT) AS n_punctuation
     FROM failed"""
 
 
