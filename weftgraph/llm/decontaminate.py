@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,50 +82,68 @@ def _pattern_blocks(benchmark: DataFrame, scratch: Scratch, most: int, unnamed:
     return rows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))), blocks
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> list[DataFrame]:
-    """One frame for each block of patterns: docs' columns plus __wg_n (words), __wg_hit (runs of hit words as
-    first, end pairs) and __wg_items (items found, as strings).
+class Block:
+    """Patterns and the items that hold them; a worker builds the search tables when it first needs them."""
+
+    def __init__(self, of: dict[bytes, list[str | None]]):
+        self.patterns = sorted(of)
+        self.owners, self.made = [of[k] for k in self.patterns], None
+
+    def __getstate__(self):
+        return {**self.__dict__, "made": None}
+
+    def search(self, words: list[bytes]) -> tuple[list[int], list[str]]:
+        """The hit words as disjoint runs (first, end, ...), and the items found."""
+        if self.made is None:
+            self.made = WuManber([tuple(k.split(b" ")) for k in self.patterns])
+        runs, found = [], set()
+        for k, first, m in self.made.search(words):
+            found.update(i for i in self.owners[k] if i is not None)
+            runs += [first, first + m]
+        return merged(runs), sorted(found)
+
+
+def _search(docs: DataFrame, rows: DataFrame, b: int):
+    """docs with __wg_n, __wg_hit and __wg_items for one block of patterns, and the broadcast that it needs."""
+    of = defaultdict(list)
+    for r in rows.where(F.col("block") == b).select("pattern", "item").toLocalIterator():  # about PATTERNS rows
+        of[bytes(r[0])].append(r[1])
+    shared = docs.sparkSession.sparkContext.broadcast(Block(of))
+    place = docs.columns.index("text")
+    schema = docs.select("*", F.lit(0).cast("long").alias("__wg_n"), F.array(F.lit(0)).alias("__wg_hit"), F.array(F.lit("")).alias("__wg_items")).schema
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        split = [words_of(t) for t in texts(batch.column(place))]
+        got = [shared.value.search(words) for words in split]
+        made = [pa.array([len(w) for w in split], pa.int64()), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "__wg_n", "__wg_hit", "__wg_items"])
+
+    return docs.mapInArrow(over_batches(work), schema), shared
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> DataFrame:
+    """docs, with all its columns, plus __wg_n (words), __wg_hit (disjoint runs of hit words as first, end pairs) and
+    __wg_items (items found, as strings, sorted).
+
+    A benchmark of one block is searched in the scan of docs itself. Of a larger one, block after block is searched and
+    its hits written, so that neither the driver nor a task ever holds more than one block; hits meet by row.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
     rows, blocks = _pattern_blocks(benchmark, scratch, block_patterns, unnamed)
-    schema = docs.select("*", F.lit(0).cast("long").alias("__wg_n"), F.array(F.lit(0)).alias("__wg_hit"), F.array(F.lit("")).alias("__wg_items")).schema
-    place = docs.columns.index("text")
-    out = []
+    if blocks == 1:
+        return _search(docs, rows, 0)[0]
+    have = keyed(docs)
+    parts = []
     for b in range(blocks):
-        of = defaultdict(list)
-        for r in rows.where(F.col("block") == b).select("pattern", "item").toLocalIterator():
-            of[bytes(r[0])].append(r[1])
-        keys = sorted(of)
-        finder, owners = WuManber([tuple(k.split(b" ")) for k in keys]), [of[k] for k in keys]
-        shared = spark.sparkContext.broadcast((finder, owners))
-
-        def work(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            finder, owners = shared.value
-            count, hits, items = [], [], []
-            for t in texts(batch.column(place)):
-                words = words_of(t)
-                runs, found = [], set()
-                for k, first, m in finder.search(words):
-                    found.update(i for i in owners[k] if i is not None)
-                    runs.append((first, first + m))
-                count.append(len(words))
-                hits.append(merged([x for run in runs for x in run]))
-                items.append(sorted(found))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, "__wg_n", "__wg_hit", "__wg_items"])
-
-        out.append(docs.mapInArrow(over_batches(work), schema))
-    return out
-
-
-def covered(runs: list[list[int]] | np.ndarray) -> int:
-    """Words under the union of runs, given as lists of first, end pairs."""
-    total, last = 0, 0
-    for a, z in sorted((r[i], r[i + 1]) for r in runs for i in range(0, len(r), 2)):
-        total += max(0, z - max(a, last))
-        last = max(last, z)
-    return total
+        part, shared = _search(have.select(RID, "text"), rows, b)
+        parts.append(scratch.write(part.drop("text"), f"hits{b}"))
+        shared.destroy()
+    every = reduce(DataFrame.union, parts)
+    once = every.groupBy(RID).agg(F.max("__wg_n").alias("__wg_n"), F.flatten(F.collect_list("__wg_hit")).alias("__wg_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__wg_items")))).alias("__wg_items"))
+    merge = F.pandas_udf(lambda col: col.map(merged), "array<int>")
+    return have.join(once.withColumn("__wg_hit", merge("__wg_hit")), RID).drop(RID)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> DataFrame:
@@ -132,20 +151,10 @@ def report(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS
 
     Null texts have no words and are never contaminated; items with equal ids count once. With
     ``unnamed``, windows of benchmark rows without an item_id count in n_hit, hit_runs and contaminated, and only the
-    missing id is left out of n_items and items_sha256; otherwise such rows are ignored. An empty benchmark hits nothing. Equal rows are reported one by one.
+    missing id is left out of n_items and items_sha256; otherwise such rows are ignored. An empty benchmark hits nothing.
+    Equal rows are reported one by one.
     """
-
-    have = keyed(docs.select("doc_id", "text"))
-    parts = [p.select(RID, "doc_id", "__wg_n", "__wg_hit", "__wg_items") for p in contamination(have, benchmark, block_patterns, unnamed)]
-    if len(parts) == 1:
-        one = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-        once = every.groupBy(RID).agg(F.first("doc_id").alias("doc_id"), F.max("__wg_n").alias("__wg_n"), F.flatten(F.collect_list("__wg_hit")).alias("__wg_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__wg_items")))).alias("__wg_items"))
-        merge = F.pandas_udf(lambda col: col.map(merged), "array<int>")
-        one = once.withColumn("__wg_hit", merge("__wg_hit"))
+    one = contamination(docs.select("doc_id", "text"), benchmark, block_patterns, unnamed)
     n_hit, n = _hit_words("__wg_hit"), F.col("__wg_n")
     return one.select("doc_id", n.alias("n_words"), n_hit.alias("n_hit"), F.size("__wg_items").cast("long").alias("n_items"), F.sha2(F.array_join("__wg_items", ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n)).alias("contaminated"), F.col("__wg_hit").alias("hit_runs"))
 
@@ -166,12 +175,8 @@ def merged(runs) -> list[int]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_patterns: int = PATTERNS, unnamed: bool = False) -> DataFrame:
-    """docs without contaminated rows; all columns stay."""
-    parts = contamination(docs, benchmark, block_patterns, unnamed)
-    if len(parts) == 1:
-        hit = _hit_words("__wg_hit")
-        return parts[0].where(~((hit > 0) & (20 * hit >= F.col("__wg_n")))).select(*docs.columns)
-    have = keyed(docs)
-    flagged = report(have.withColumn("doc_id", F.col(RID)), benchmark, block_patterns, unnamed).where("contaminated").select(F.col("doc_id").alias(RID))
-    return have.join(flagged, RID, "left_anti").select(*docs.columns)
-
+    """docs without contaminated rows; all columns stay. Rows with null or empty texts have no words and stay; other
+    cases are as in ``report``."""
+    hit = _hit_words("__wg_hit")
+    found = contamination(docs, benchmark, block_patterns, unnamed)
+    return found.where(~((hit > 0) & (20 * hit >= F.col("__wg_n")))).select(*docs.columns)
