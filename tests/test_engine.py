@@ -115,7 +115,7 @@ def test_json(spark):
         jsonops.strict_object('{"a": 1, "a": 2}')
     got = jsonops.shred_table(spark.createDataFrame([(1, '{"k": [1]}'), (2, "{"), (3, None)], "id long, j string"), "id", "j")
     assert {(r["id"], r["pointer"], r["kind"]) for r in got.collect()} == {(1, "", "object"), (1, "/k", "array"), (1, "/k/0", "number"), (2, "", "invalid"), (3, "", "invalid")}
-    row = spark.range(1).select(jsonops.canonical(F.lit('{"b": 1, "a": [2, 1]}')).alias("c"), jsonops.pointer_parts(F.lit("/a~1b/~0")).alias("p"), jsonops.pointer_parent(F.lit("/a/b")).alias("u"), jsonops.pointer_last(F.lit("/a/b~1")).alias("l"), scalar.identity_token(F.lit("  A b--C ")).alias("t"), scalar.fill_path(F.lit("/x/{id}"), F.create_map(F.lit("id"), F.lit("7"))).alias("f")).first()
+    row = spark.range(1).select(jsonops.canonical(F.lit('{"b": 1, "a": [2, 1]}')).alias("c"), jsonops.pointer_parts(F.lit("/a~1b/~0")).alias("p"), jsonops.pointer_parent(F.lit("/a/b")).alias("u"), jsonops.pointer_last(F.lit("/a/b~1")).alias("l"), model.identity_token(F.lit("  A b--C ")).alias("t"), scalar.fill_path(F.lit("/x/{id}"), F.create_map(F.lit("id"), F.lit("7"))).alias("f")).first()
     assert tuple(row) == ('{"a":[2,1],"b":1}', ["a/b", "~"], "/a", "b/", "a-b-c", "/x/7")
 
 

@@ -42,11 +42,6 @@ def module_of_path(c: Column) -> Column:
     return F.regexp_extract(c, "(?:^|/)([^/:]*):", 1)
 
 
-def identity_token(c: Column) -> Column:
-    token = F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "-")), F.lit("-"))
-    return F.when(token == "", F.lit("unnamed")).otherwise(token)
-
-
 def fill_path(path: Column, params: Column) -> Column:
     """``{name}`` replaced by the value of a map of names."""
     return F.aggregate(F.map_entries(params), path, lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
@@ -67,3 +62,19 @@ def clamp(value: object, default: int, most: int) -> int:
 
 def bps_to_gbps(c: Column) -> Column:
     return F.round(c.cast("double") / 1e9, 3)
+
+
+def all_given(wanted: dict[str, object]) -> Column:
+    """The conjunction of what is wanted of columns: nothing for None, blank text and empty lists; a list is membership, a
+    pair (low, high) a range with either end open."""
+    out = F.lit(True)
+    for name, x in wanted.items():
+        c = F.col(name)
+        if isinstance(x, tuple):
+            low, high = x
+            out = out & (c >= low if low is not None else F.lit(True)) & (c <= high if high is not None else F.lit(True))
+        elif isinstance(x, list):
+            out = out & c.isin(x) if x else out
+        elif x is not None and str(x).strip():
+            out = out & (c == x)
+    return out

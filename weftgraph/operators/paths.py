@@ -33,6 +33,24 @@ def hops(edges: DataFrame, seeds: DataFrame, low: int, high: int) -> DataFrame:
     return out.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
+def walks(edges: DataFrame, seeds: DataFrame, low: int, high: int) -> DataFrame:
+    """(seed, node, depth): a row for each walk of low to high edges from each seed, parallel edges apart.
+
+    Walks are counted, not listed, on the way: a step joins distinct (seed, node) pairs with distinct edges and sums the
+    products, so that only the last step makes as many rows as there are walks.
+    """
+    e = edges.groupBy(F.col("src").alias("__s"), F.col("dst").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    now = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("n")).distinct()
+    out = now if low == 0 else None
+    for k in range(1, high + 1):
+        now = now.join(e, F.col("node") == F.col("__s")).groupBy("seed", F.col("__d").alias("node")).agg(F.sum(F.col("n") * F.col("__n")).alias("n")).select("seed", "node", F.lit(k).alias("depth"), "n")
+        if k >= low:
+            out = now if out is None else out.unionByName(now)
+    if out is None:
+        raise ValueError("low may not be over high")
+    return out.select("seed", "node", "depth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+
+
 def closure(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
     """(seed, node): all that each seed reaches, itself included; a worklist, each pair expanded once."""
     e = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()

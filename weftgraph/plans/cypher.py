@@ -1,8 +1,9 @@
 """A subset of openCypher, compiled to DataFrame joins.
 
-Clauses: MATCH, OPTIONAL MATCH (each with WHERE), UNWIND, WITH (with WHERE, ORDER BY, SKIP, LIMIT), RETURN, UNION [ALL].
-Patterns: labels and label disjunctions in WHERE, property maps, both directions, alternated relationships, edge
-variables, bounded variable length. A variable's properties are flat columns named ``var.prop``, so that Catalyst
+Clauses: MATCH, OPTIONAL MATCH (each with WHERE), UNWIND, CALL ... YIELD, WITH (with WHERE, ORDER BY, SKIP, LIMIT), RETURN,
+UNION [ALL]. Patterns: labels and label disjunctions in WHERE, property maps (on bound nodes too), both directions,
+alternated relationships, edge variables, bounded variable length (one row for each walk). ``EXISTS { MATCH ... }`` is a
+semi-join and ``NOT EXISTS`` an anti-join where they stand as conjuncts of a WHERE, and a joined mark elsewhere. A variable's properties are flat columns named ``var.prop``, so that Catalyst
 prunes what a query doesn't name. Write clauses are refused.
 """
 
@@ -15,13 +16,30 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.paths import hops
+from weftgraph.operators.paths import hops, walks
 from weftgraph.plans.graph import PropertyGraph
 
 _TOKEN = re.compile(r"\s+|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+\.\d+|\d+)|(?P<par>\$\w+)|(?P<id>\w+|`[^`]+`)|(?P<op><-|->|<=|>=|<>|\.\.|[-\[\](){}<>=,.:*+/%|])")
 WRITES = {"create", "merge", "set", "delete", "remove", "drop", "alter", "copy", "load", "install", "detach"}
 AGGREGATES = {"count", "collect", "sum", "avg", "min", "max"}
-FUNCTIONS = {"tolower": F.lower, "toupper": F.upper, "trim": F.trim, "coalesce": F.coalesce, "abs": F.abs, "tostring": lambda c: c.cast("string"), "tointeger": lambda c: c.try_cast("long"), "tofloat": lambda c: c.try_cast("double"), "list_contains": F.array_contains, "round": F.round, "substring": lambda s, a, n: F.substring(s, a + 1, n)}
+FUNCTIONS = {"tolower": F.lower, "toupper": F.upper, "trim": F.trim, "coalesce": F.coalesce, "abs": F.abs, "tostring": lambda c: c.cast("string"), "tointeger": lambda c: c.try_cast("long"), "tofloat": lambda c: c.try_cast("double"), "list_contains": F.array_contains, "round": F.round, "timestamp": lambda c=None: F.current_timestamp() if c is None else F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00")), "current_timestamp": F.current_timestamp, "ends_with": F.endswith, "split": lambda s, d: F.split(s, F.regexp_replace(d, r"([\W])", r"\\$1")), "left": F.left, "right": F.right, "substring": lambda s, a, n: F.substring(s, a + 1, n)}
+
+
+#: Units of a duration, with their lengths in seconds.
+UNITS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400, "weeks": 604800}
+TYPES = {"string": "string", "int64": "long", "int32": "int", "int": "int", "double": "double", "float": "float", "bool": "boolean", "boolean": "boolean", "timestamp": "timestamp", "date": "date"}
+#: Table functions of CALL: name -> (graph, arguments) -> DataFrame.
+PROCEDURES: dict[str, Any] = {}
+
+
+def procedure(name: str):
+    """Register a table function that ``CALL name(...) YIELD ...`` can read."""
+
+    def register(f):
+        PROCEDURES[name.lower()] = f
+        return f
+
+    return register
 
 
 class CypherError(ValueError):
@@ -71,6 +89,10 @@ def _turned(edges: DataFrame) -> DataFrame:
     return edges.select(*[F.col(ends.get(c, c)).alias(c) for c in edges.columns])
 
 
+class _Marked(Exception):
+    """An EXISTS that isn't a conjunct."""
+
+
 class Query:
     def __init__(self, graph: PropertyGraph, text: str, params: dict[str, Any] | None = None):
         self.graph, self.params, self.p = graph, params or {}, _Parser(text)
@@ -82,6 +104,7 @@ class Query:
         self.df: DataFrame | None = None
         self.vars: dict[str, list[str]] = {}  # node and edge variables: their properties
         self.fresh = 0
+        self.marks: list[tuple[str, DataFrame, list[str]]] | None = None  # EXISTS within an expression: what to join before it is used
 
     # ---- clauses
     def run(self) -> DataFrame:
@@ -108,16 +131,142 @@ class Query:
                 name = p.name()
                 base = self._base()
                 self.df = base.withColumn(name, F.explode(items))
+            elif p.ate("call"):
+                self._call_procedure()
             elif p.ate("with"):
                 self._project(False)
                 if p.ate("where"):
-                    self.df = self.df.where(self._expr())
+                    self.df = self._filtered(self.df)
             elif p.ate("return"):
                 self._project(True)
                 return self.df
             else:
                 raise CypherError(f"unexpected {p.peek()!r}")
 
+    def _call_procedure(self) -> None:
+        """CALL f(arguments) YIELD a [AS b], ...: the function's rows, joined with what is there if anything is."""
+        p, name = self.p, self.p.name().lower()
+        if name not in PROCEDURES:
+            raise CypherError(f"there is no procedure {name}; they are {', '.join(sorted(PROCEDURES))}")
+        p.need("(")
+        args = []
+        while not p.ate(")"):
+            args.append(self._value())
+            p.ate(",")
+        rows, picked = PROCEDURES[name](self.graph, *args), []
+        if p.ate("yield"):
+            while True:
+                col = p.name()
+                if col not in rows.columns:
+                    raise CypherError(f"{name} yields {', '.join(rows.columns)}, not {col}")
+                picked.append(F.col(f"`{col}`").alias(p.name() if p.ate("as") else col))
+                if not p.ate(","):
+                    break
+            rows = rows.select(*picked)
+        if p.peek() == "where":
+            raise CypherError("no WHERE after YIELD; put WITH before it")
+        self.df = rows if self.df is None else self.df.join(rows)
+
+    def _value(self) -> Any:
+        """A constant or a parameter as a Python value."""
+        kind, x = self.p.toks[self.p.i]
+        self.p.i += 1
+        if kind == "str":
+            return re.sub(r"\\(.)", r"\1", x[1:-1])
+        if kind == "num":
+            return float(x) if "." in x else int(x)
+        if kind == "par" and x[1:] in self.params:
+            return self.params[x[1:]]
+        raise CypherError(f"a procedure takes constants and parameters, not {x!r}")
+
+    # ---- conditions
+    def _filtered(self, df: DataFrame) -> DataFrame:
+        """df under the condition that follows."""
+        p, start = self.p, self.p.i
+        plain: list[Column] = []
+        tests: list[tuple[bool, DataFrame, Column]] = []
+        while True:
+            at = p.i
+            wanted = not p.ate("not")
+            if p.ate("exists", "{"):
+                tests.append((wanted, *self._exists(df)))
+            else:
+                p.i, self.marks = at, None
+                try:
+                    plain.append(self._not())
+                except _Marked:
+                    plain, tests = [], []
+                    break
+            if not p.ate("and"):
+                break
+        else:
+            pass
+        if plain or tests:
+            if p.peek() != "or":
+                for c in plain:
+                    df = df.where(c)
+                for wanted, other, cond in tests:
+                    df = df.join(other, cond, "left_semi" if wanted else "left_anti")
+                return df
+        p.i, self.marks = start, []
+        kept = self.df
+        self.df = df
+        cond = self._expr()
+        self.df = kept
+        columns = df.columns
+        for name, other, on in self.marks:
+            df = df.join(other.select(*[F.col(f"`__m.{v}._id`") for v in on]).distinct().withColumn(name, F.lit(True)), reduce(lambda a, b: a & b, [F.col(f"`{v}._id`").eqNullSafe(F.col(f"`__m.{v}._id`")) for v in on]), "left")
+        self.marks = None
+        return df.where(cond).select(*[F.col(f"`{c}`") for c in columns])
+
+    def _exists(self, outer: DataFrame) -> tuple[DataFrame, Column]:
+        """The rows of a pattern in braces, and the condition that joins them with outer; its own variables stay within."""
+        p = self.p
+        if not p.ate("match"):
+            raise CypherError("EXISTS takes a MATCH in braces")
+        known, kept = dict(self.vars), self.df
+        found: DataFrame | None = None
+        while True:
+            found = self._path(found, set())
+            if not p.ate(","):
+                break
+        shared = [v for v in known if f"{v}._id" in found.columns and f"{v}._id" in outer.columns]
+        for v in shared:
+            found = found.withColumnsRenamed({c: f"__m.{c}" for c in found.columns if c.startswith(f"{v}.")})
+        conds = [F.col(f"`{v}._id`") == F.col(f"`__m.{v}._id`") for v in shared]
+        if p.ate("where"):
+            self.df = outer
+            conds.append(self._expr())
+            self.df = kept
+        p.need("}")
+        self.vars, self.df = known, kept
+        return found, reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+
+    def _mark(self) -> Column:
+        """EXISTS within a larger expression: a mark that the outer rows are joined with."""
+        if self.marks is None:
+            raise _Marked
+        p = self.p
+        known = dict(self.vars)
+        found: DataFrame | None = None
+        p.need("match")
+        while True:
+            found = self._path(found, set())
+            if not p.ate(","):
+                break
+        if p.ate("where"):
+            kept, self.df = self.df, found
+            found = found.where(self._expr())
+            self.df = kept
+        p.need("}")
+        on = [v for v in known if f"{v}._id" in found.columns and f"{v}._id" in self.df.columns]
+        if not on:
+            raise CypherError("an EXISTS within OR or CASE needs a variable of the query")
+        self.vars = known
+        name = f"__e.{len(self.marks)}"
+        self.marks.append((name, found.withColumnsRenamed({f"{v}._id": f"__m.{v}._id" for v in on}), on))
+        return F.col(f"`{name}`").isNotNull()
+
     def _base(self) -> DataFrame:
         if self.df is None:
             self.df = SparkSession.active().range(1).select()
@@ -187,24 +336,21 @@ class Query:
             found = self._path(found, known)
             if not p.ate(","):
                 break
-        where = None
-        if p.ate("where"):
-            where = self._expr(found_labels=True)
-        shared = [v for v in known if found is not None and f"{v}._id" in found.columns]
+        shared = [v for v in known if f"{v}._id" in found.columns]
         if self.df is None:
-            self.df = found if where is None else found.where(where)
+            self.df = self._filtered(found) if p.ate("where") else found
             return
         for v in shared:
             found = found.withColumnsRenamed({c: f"__m.{c}" for c in found.columns if c.startswith(f"{v}.")})
         on = [F.col(f"`{v}._id`") == F.col(f"`__m.{v}._id`") for v in shared]
         cond = reduce(lambda a, b: a & b, on) if on else F.lit(True)
-        if optional:
-            self.df = self.df.join(found, cond & where if where is not None else cond, "left")
-        else:
-            self.df = self.df.join(found, cond)
-            if where is not None:
-                self.df = self.df.where(where)
+        if optional and p.peek() == "where":
+            p.take()
+            cond = cond & self._expr()
+        self.df = self.df.join(found, cond, "left" if optional else "inner")
         self.df = self.df.select(*[F.col(f"`{c}`") for c in self.df.columns if not c.startswith("__m.")])
+        if not optional and p.ate("where"):
+            self.df = self._filtered(self.df)
 
     def _path(self, found: DataFrame | None, known: set[str]) -> DataFrame:
         p = self.p
@@ -232,11 +378,21 @@ class Query:
                 new = new.where(F.col(f"`{v}.{k}`") == x)
             return new
 
+        def narrowed(df: DataFrame, v: str, own: dict[str, Column], named: list[str]) -> DataFrame:
+            """df where a node that is there already has these labels and properties too."""
+            for k, x in own.items():
+                if k not in self.vars[v]:
+                    raise CypherError(f"{v} has no property {k}; it has {', '.join(self.vars[v])}.")
+                df = df.where(F.col(f"`{v}.{k}`") == x)
+            return df.where(F.col(f"`{v}._label`").isin(named)) if named else df
+
         if df is None or f"{var}._id" not in df.columns:
             new = bring(var, props)
             df = new if df is None else df.join(new)
+        else:
+            df = narrowed(df, var, props, labels)
         at = var
-        for (rvar, names, rprops, lo, hi, way), (to, _, own) in steps:
+        for (rvar, names, rprops, lo, hi, way), (to, named, own) in steps:
             for n in names or sorted(self.graph.rels):
                 if n not in self.graph.rels:
                     raise CypherError(f"There is no relationship {n}; they are {', '.join(sorted(self.graph.rels))}.")
@@ -248,19 +404,28 @@ class Query:
             elif way == "both":
                 edges = edges.unionByName(_turned(edges))
             if (lo, hi) != (1, 1):
-                seeds = df.select(F.col(f"`{at}._id`").alias("node")).distinct()
-                edges = hops(edges.select("src", "dst"), seeds, lo, hi).select(F.col("seed").alias("src"), F.col("node").alias("dst"))
+                key = lambda label, node, name: F.struct(F.col(label).alias("l"), F.col(node).alias("k")).alias(name)  # noqa: E731  keys of two labels may be equal
+                seeds = df.select(key(f"`{at}._label`", f"`{at}._id`", "node")).distinct()
+                reach = hops if self._only_distinct() else walks
+                edges = reach(edges.select(key("src_label", "src", "src"), key("dst_label", "dst", "dst")), seeds, lo, hi)
+                edges = edges.select(F.col("seed.k").alias("src"), F.col("node.k").alias("dst"), F.col("seed.l").alias("src_label"), F.col("node.l").alias("dst_label"))
             flat = edges.select(*[F.col(c).alias(f"{rvar}.{c}") for c in edges.columns])
             self.vars[rvar] = [c for c in edges.columns if c not in ("src", "dst", "rel", "src_label", "dst_label")]
-            df = df.join(flat, self._meets(edges, at, rvar, "src", labels_of[at]))
+            df = df.join(flat, self._meets(edges, at, rvar, "src", labels_of[at] if (lo, hi) == (1, 1) else None))
             if f"{to}._id" in df.columns:
-                df = df.where(self._meets(edges, to, rvar, "dst", labels_of.get(to)))
+                df = narrowed(df.where(self._meets(edges, to, rvar, "dst", labels_of.get(to) if (lo, hi) == (1, 1) else None)), to, own, named)
             else:
                 new = bring(to, own)
-                df = df.join(new, self._meets(edges, to, rvar, "dst", labels_of[to]))
+                df = df.join(new, self._meets(edges, to, rvar, "dst", labels_of[to] if (lo, hi) == (1, 1) else None))
             at = to
         return df
 
+    def _only_distinct(self) -> bool:
+        """Whether the next projection is DISTINCT without aggregates, so that the number of walks doesn't matter."""
+        toks = [x.lower() for _, x in self.p.toks[self.p.i :]]
+        at = next((k for k, x in enumerate(toks) if x in ("return", "with") and toks[k - 1] not in ("starts", "ends")), len(toks))
+        return toks[at + 1 : at + 2] == ["distinct"] and not AGGREGATES.intersection(toks[at:])
+
     def _meets(self, edges: DataFrame, node: str, rel: str, end: str, labels: list[str] | None) -> Column:
         """The node is the edge's end; with several labels their keys may be equal, so that labels must be too."""
         same = F.col(f"`{rel}.{end}`") == F.col(f"`{node}._id`")
@@ -355,6 +520,8 @@ class Query:
         return c
 
     def _not(self) -> Column:
+        if self.p.ate("exists", "{"):
+            return self._mark()
         return ~self._not() if self.p.ate("not") else self._compare()
 
     def _compare(self) -> Column:
@@ -416,7 +583,7 @@ class Query:
             while not p.ate("]"):
                 items.append(self._expr())
                 p.ate(",")
-            c = F.array(*items)
+            c = F.array(*items) if items else F.array().cast("array<string>")
         elif kind == "id":
             c = self._named(x)
         else:
@@ -484,6 +651,26 @@ class Query:
                 return F.array(F.col(f"`{v}._label`"))
             c = F.col(f"`{key}`")
             return c if name == "id" else F.count_distinct(c) if distinct else F.count(c) if name == "count" else F.array_sort(F.collect_list(c))
+        if name == "cast":
+            c = self._expr()
+            p.need("as")
+            kind = p.name().lower()
+            if kind not in TYPES:
+                raise CypherError(f"there is no type {kind}")
+            kind = f"array<{TYPES[kind]}>" if p.ate("[") and p.ate("]") else TYPES[kind]
+            p.need(")")
+            return c.cast(kind)
+        if name in ("duration", "interval") and p.ate("{"):
+            parts = []
+            while not p.ate("}"):
+                unit = p.name().lower()
+                if unit not in UNITS:
+                    raise CypherError(f"there is no unit {unit}")
+                p.need(":")
+                parts.append(self._expr() * UNITS[unit])
+                p.ate(",")
+            p.need(")")
+            return F.make_dt_interval(secs=reduce(lambda a, b: a + b, parts).cast("decimal(18,6)"))
         args = []
         while not p.ate(")"):
             args.append(self._expr())
@@ -498,7 +685,8 @@ class Query:
         if name == "range":
             return F.sequence(*args)
         if name == "size":
-            return F.call_function("cardinality", args[0]) if "array" in str(args[0]).lower() or "sequence" in str(args[0]).lower() else F.length(args[0])
+            kind = self._base().select(args[0].alias("x")).schema["x"].dataType.typeName()
+            return F.call_function("cardinality", args[0]) if kind in ("array", "map") else F.length(args[0])
         if name in FUNCTIONS:
             return FUNCTIONS[name](*args)
         raise CypherError(f"there is no function {name}")

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions import scalar
 from weftgraph.operators import paths, upsert
-from weftgraph.plans.cypher import cypher
+from weftgraph.plans.cypher import cypher, procedure
+from weftgraph.plans.graph import PropertyGraph
 from weftgraph.queries import query
 
 
+@procedure("nodes_containing")
+def nodes_containing(g: PropertyGraph, label: str, prop: str, part: str):
+    """key of the nodes whose property holds a text, in any case."""
+    return g.node(label).where(scalar.contains_ci(part, F.col(prop))).select(F.col(g.pk(label)).alias("key"))
+
+
 @query("c04_hops_region_orders", "select r.r_name as region, n.n_name as nation, count(*) as n_orders from region r join nation n on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by 1, 2")
 def hierarchy(t):
     return cypher(t.g, "MATCH (o:Order)-[:PLACED_BY]->(c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS region, n.n_name AS nation, count(*) AS n_orders")
@@ -150,18 +158,83 @@ def c10(t):
 
 @query("c11_anti_join", "select c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 def c11(t):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").selectExpr("c_custkey as id")
+    return cypher(t.g, "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)<-[:PLACED_BY]-(:Order) } RETURN c.c_custkey AS id")
 
 
 @query("c12_anti_keyed", "select o_orderkey as id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = 4)")
 def c12(t):
-    fourth = t.lineitem.where("l_linenumber = 4")
-    return t.orders.join(fourth, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").selectExpr("o_orderkey as id")
+    return cypher(t.g, "MATCH (o:Order) WHERE NOT EXISTS { MATCH (o)-[:HAS_PART {l_linenumber: 4}]->() } RETURN o.o_orderkey AS id")
 
 
 @query("c13_semi_join", "select c_custkey as id from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'O')")
 def c13(t):
-    return t.customer.join(t.orders.where("o_orderstatus = 'O'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").selectExpr("c_custkey as id")
+    return cypher(t.g, "MATCH (c:Customer) WHERE EXISTS { MATCH (c)<-[:PLACED_BY]-(o:Order) WHERE o.o_orderstatus = 'O' } RETURN c.c_custkey AS id")
+
+
+@query("c12_correlated", "select c_custkey as id from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 45 * c_acctbal and o_orderpriority <> c_mktsegment)")
+def c12b(t):
+    return cypher(t.g, "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)<-[:PLACED_BY]-(o:Order) WHERE o.o_totalprice > 45 * c.c_acctbal AND o.o_orderpriority <> c.c_mktsegment } RETURN c.c_custkey AS id")
+
+
+@query("c11_exists_or", "select c_custkey as id from customer where c_acctbal < 0 or not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+def c11b(t):
+    return cypher(t.g, "MATCH (c:Customer) WHERE c.c_acctbal < 0 OR NOT EXISTS { MATCH (c)<-[:PLACED_BY]-(o:Order) WHERE o.o_orderstatus = 'P' } RETURN c.c_custkey AS id")
+
+
+@query("c05_bound_properties", "select c_custkey as cust, o_orderkey as o from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' and o_orderstatus = 'F'")
+def c05(t):
+    return cypher(t.g, "MATCH (o:Order)-[:PLACED_BY]->(c:Customer), (c {c_mktsegment: 'BUILDING'}), (o {o_orderstatus: $s}) RETURN c.c_custkey AS cust, o.o_orderkey AS o", {"s": "F"})
+
+
+@query("c05_bound_start", "select s_suppkey as s, c_custkey as c from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey join customer on c_custkey = o_custkey where o_orderpriority = '1-URGENT'")
+def c05b(t):
+    return cypher(t.g, "MATCH (s)<-[:SHIPPED_BY]-(o:Order), (c)<-[:PLACED_BY]-(o {o_orderpriority: '1-URGENT'}) RETURN s.s_suppkey AS s, c.c_custkey AS c")
+
+
+@query("c14_walks", "select r_name as region, c_custkey as id, count(*) as n from region join nation n on n.n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1, 2")
+def c14_walks(t):
+    return cypher(t.g, "MATCH (c:Customer)-[:LIVES_IN|IN_REGION*1..3]->(r:Region) RETURN r.r_name AS region, c.c_custkey AS id, count(*) AS n")
+
+
+@query("c15_walk_counts", "with e as (select 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem union all select 'o' || l_orderkey, 's' || l_suppkey from lineitem) select src[2:]::bigint as o, count(*) as n_walks, count(distinct dst) as n_ends from e group by 1")
+def c15(t):
+    both = cypher(t.g, "MATCH (o:Order)-[:HAS_PART|SHIPPED_BY*1..2]->(x) RETURN o.o_orderkey AS o, count(*) AS n_walks")
+    ends = cypher(t.g, "MATCH (o:Order)-[:HAS_PART|SHIPPED_BY*1..2]->(x) RETURN DISTINCT o.o_orderkey AS o, labels(x) AS l, id(x) AS x")
+    return both.join(ends.groupBy("o").agg(F.count(F.lit(1)).alias("n_ends")), "o")
+
+
+@query("b12_optional_filter", "select p_partkey as id from part where p_brand = 'Brand#13'")
+def b12(t):
+    return cypher(t.g, "MATCH (p:Part) WHERE ($brand = '' OR p.p_brand = $brand) AND ($type IS NULL OR p.p_type = $type) RETURN p.p_partkey AS id", {"brand": "Brand#13", "type": None})
+
+
+@query("b13_dynamic_filter", "select o_orderkey as id from orders where o_orderstatus = 'O' and o_totalprice >= 1000 and o_orderpriority in ('1-URGENT', '2-HIGH')")
+def b13(t):
+    given = {"o_orderstatus": "O", "o_custkey": None, "o_orderpriority": ["1-URGENT", "2-HIGH"], "o_totalprice": (1000, None)}
+    return t.orders.where(scalar.all_given(given)).select(F.col("o_orderkey").alias("id"))
+
+
+@query("b07_list_membership", "select o_orderkey as id, 4 = any (l) as has_four, len(l) as n, l[1] as first from (select l_orderkey as o_orderkey, list(l_linenumber order by l_linenumber) as l from lineitem group by 1)")
+def b07(t):
+    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("tags"))
+    g = PropertyGraph().add_node("Lines", lists, "k")
+    return cypher(g, "MATCH (x:Lines) RETURN x.k AS id, 4 IN x.tags AS has_four, size(x.tags) AS n, x.tags[0] AS first")
+
+
+@query("b18_time", "select event_id, ts > timestamp '2024-01-02 00:00:00' - interval 15 minute as late, ts + interval 90 second < timestamp '2024-01-01 12:00:00' as early from events")
+def b18(t):
+    g = PropertyGraph().add_node("Event", t.events.withColumn("ts", F.col("ts").cast("timestamp")), "event_id")
+    return cypher(g, "MATCH (e:Event) RETURN e.event_id AS event_id, e.ts > timestamp('2024-01-02T00:00:00Z') - duration({minutes: 15}) AS late, e.ts + duration({seconds: 90}) < timestamp('2024-01-01T12:00:00') AS early")
+
+
+@query("b28_call_yield", "select s_suppkey as s, n_name as nation from supplier join nation on n_nationkey = s_nationkey where contains(lower(s_name), '7')")
+def b28(t):
+    return cypher(t.g, "CALL nodes_containing('Supplier', 's_name', '7') YIELD key AS k WITH k MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) WHERE s.s_suppkey = k RETURN s.s_suppkey AS s, n.n_name AS nation")
+
+
+@query("b32_typed_values", "select r_regionkey as k, 0 as n, cast(r_regionkey as varchar) as text from region")
+def b32(t):
+    return cypher(t.g, "MATCH (r:Region) RETURN r.r_regionkey AS k, size(CAST([] AS STRING[])) AS n, CAST(r.r_regionkey AS STRING) AS text")
 
 
 #: Supplier -> part -> supplier steps among the first suppliers' small orders: a graph that closes slowly.
