@@ -1,5 +1,6 @@
 """The engine's parts on small tables made here."""
 
+import hashlib
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import jsonops, scalar
-from weftgraph.operators import audit, decompose, govern, hydrate, paths, topology, upsert
+from weftgraph.operators import audit, decompose, govern, hydrate, model, paths, topology, upsert
 from weftgraph.plans.cypher import CypherError, cypher
 from weftgraph.plans.graph import PropertyGraph
 from weftgraph.sources import files, pages
@@ -164,9 +165,14 @@ def test_hydrate(spark):
     raw = [(1, '{"errors": [1, 2, 3], "a": [{"serial": "x"}], "b": [{"id": 1}, {"id": 2}]}'), (2, "[5]"), (3, '{"id": 7}'), (4, "no"), (5, '{"items": [], "b": [1]}')]
     got = rows(hydrate.objects(spark.createDataFrame(raw, "observation_id long, rawJson string")).select("observation_id", "item_index", "pointer"))
     assert got == [(1, 0, "/b/0"), (1, 1, "/b/1"), (2, 0, "/0"), (3, -1, "")]
-    ids = spark.createDataFrame([('{"Serial": "a", "name": "n"}',), ('{"q": "1"}',), ('{"q": "1", "r": "2"}',)], "j string")
-    keys = [r[0] for r in ids.select(hydrate.identity_key(F.from_json("j", "map<string,string>"), F.col("j"))).collect()]
-    assert keys[:2] == ["serial=a", "q=1"] and keys[2].startswith("identityHash=")
+    ids = spark.createDataFrame([('{"serial": "S1", "id": "7"}',), ('{"SerialNumber": "a", "name": "n"}',), ('{"q": "1"}',), ('{"uid": 3}',), ('{"id": "", "mac": null}',), ("[1]",), ('{"id": false}',)], "j string")
+    keys = [tuple(r[0]) for r in ids.select(hydrate.identity_key(hydrate.identity(F.col("j")))).collect()]
+    assert keys == [("id=7", "id"), ("SerialNumber=a", "SerialNumber"), ("", ""), ("uid=3", "uid"), ("", ""), ("", ""), ("id=False", "id")]
+    two = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(f'"{v}"').alias("json"), F.lit(v).alias("text")) for k, v in (("q", "é\U0001f600"), ("b", "2"))])
+    want = hashlib.sha256(json.dumps({"q": "é\U0001f600", "b": "2"}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+    assert spark.range(1).select(hydrate.identity_key(two)["key"]).first()[0] == f"identityHash={want}"
+    sure = [r[0] for r in spark.createDataFrame([("id", 1), ("siteId", 1), ("Serial", 1), ("uid", 2)], "f string, n int").select(hydrate.confidence(F.col("f"), F.col("n"))).collect()]
+    assert sure == ["high", "medium", "low", "medium"]
 
 
 def test_parity_and_changes(spark):
@@ -184,8 +190,8 @@ def test_topology(spark):
     jobs = spark.createDataFrame([("c",), ("a",), ("b",)], "job string")
     assert topology.levels(jobs, spark.createDataFrame([("a", "c")], "job string, needs string")) == ["b", "c", "a"]
     assert topology.levels(jobs, spark.createDataFrame([("a", "c"), ("c", "a")], "job string, needs string")) == ["a", "b", "c"]
-    paging = spark.createDataFrame([(["limit", "offset"],), (["next"],), ([],)], "n array<string>").select(hydrate.paging_style(F.col("n")))
-    assert [r[0] for r in paging.collect()] == ["offset", "cursor", "none"]
+    paging = spark.createDataFrame([(["limit", "offset"],), (["next"],), (["limit", "next"],), (["cursor"],), (["limit"],), ([],)], "n array<string>").select(hydrate.paging_style(F.col("n"))["style"])
+    assert [r[0] for r in paging.collect()] == ["offset", "none_detected", "cursor", "cursor", "bounded_list", "none_detected"]
 
 
 def test_files(spark, tmp_path):

@@ -124,3 +124,26 @@ def fields(c: Column) -> Column:
     """The members of a JSON object as an array of (key, value as JSON text), sorted by key."""
     entries = F.map_entries(F.from_json(c, "map<string,string>"))
     return F.array_sort(entries)
+
+
+def ascii(c: Column) -> Column:
+    """JSON text with every letter beyond ASCII as an escape, in two halves beyond the basic plane."""
+
+    def escape(x: Column) -> Column:
+        code = _code(x)
+        four = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
+        return F.when(code < 128, x).when(code < 0x10000, four(code)).otherwise(F.concat(four(high), four(low)))
+
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(c, ""), escape), "")).otherwise(c)
+
+
+def _code(x: Column) -> Column:
+    """The code point of a letter."""
+    return F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int")
+
+
+def quoted(c: Column) -> Column:
+    """A text as a JSON string of ASCII."""
+    body = F.to_json(F.struct(c.alias("x")))
+    return ascii(F.substring(body, F.lit(6), F.length(body) - 6))

@@ -11,6 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.scalar import all_given
+
 SOFT, HARD, CELL, BYTES, BATCH, PREVIEW = 200, 2000, 4096, 50_000, 25, 200
 
 
@@ -107,3 +109,8 @@ def freshness_warnings(rows: DataFrame, label: Column, at: Column, as_of: Column
     age = F.unix_timestamp(as_of) - F.unix_timestamp(at)
     old = rows.select(label.alias("label"), age.alias("age"), at.isNull().alias("none")).where((F.col("age") > threshold_s) | F.col("none"))
     return old.groupBy("label").agg(F.count(F.lit(1)).alias("rows_affected"), F.count_if("none").alias("never"), F.max("age").alias("max_age_s"))
+
+
+def listed(rows: DataFrame, wanted: dict[str, object], order: Sequence[Column], limit: int, hidden: Sequence[str] = ()) -> DataFrame:
+    """A reader's list: what is given of ``wanted`` filters, ``hidden`` columns stay back, and the first rows in order go."""
+    return rows.where(all_given(wanted)).orderBy(*order).limit(limit).drop(*hidden)

@@ -37,12 +37,6 @@ def g19(t):
     return upsert.variant_ids(t.documents.select("doc_id", "source", "text"), ["source"], "text", F.col("source")).select("doc_id", "variant_id")
 
 
-@query("f16_classifiers", "select p_partkey as id, case when p_name is null then 'none' when p_size > 40 then 'object' when contains(p_type, 'STEEL') then 'union' when p_retailprice > 1500 then 'map' else 'scalar' end as shape from part")
-def f16(t):
-    shape = F.when(F.col("p_name").isNull(), "none").when(F.col("p_size") > 40, "object").when(F.col("p_type").contains("STEEL"), "union").when(F.col("p_retailprice") > 1500, "map").otherwise("scalar")
-    return t.part.select(F.col("p_partkey").alias("id"), shape.alias("shape"))
-
-
 @query("f26_path_module", "select page_id, regexp_extract(url, '(?:^|/)([^/:]*):', 1) as module, length(url) - length(replace(url, '/', '')) as slashes from pages")
 def f26(t):
     return t.pages.select("page_id", scalar.module_of_path(F.col("url")).alias("module"), (F.length("url") - F.length(F.replace("url", F.lit("/")))).cast("long").alias("slashes"))
@@ -64,30 +58,6 @@ def h12(t):
     return hydrate.fields(t.events, "event_id", "props").select("event_id", "name", "value_json")
 
 
-@query("h14_canonical_hash", "select event_id, sha256(json(props)::varchar) as hash from events where event_id < 0")
-def h14(t):
-    return t.events.where("event_id < 0").select("event_id", jsonops.content_hash(F.col("props")).alias("hash"))
-
-
-@query("h14_canonical_hash_all", "select event_id, sha256(json(props)::varchar) as hash from events")
-def h14_all(t):
-    return t.events.select("event_id", jsonops.content_hash(F.col("props")).alias("hash"))
-
-
-@query("h16_identity_facts", "select event_id, 'k=' || json_extract_string(props, '$.k') as identity, sha256(event_type || '|k=' || json_extract_string(props, '$.k')) as fact_id, 'low' as confidence from events")
-def h16(t):
-    pairs = F.from_json("props", "map<string,string>")
-    rows = t.events.select("event_id", "event_type", hydrate.identity_key(pairs, F.col("props")).alias("identity"), F.size(pairs).alias("n"))
-    return rows.select("event_id", "identity", F.sha2(F.concat_ws("|", "event_type", "identity"), 256).alias("fact_id"), hydrate.confidence(F.col("identity"), F.col("n")).alias("confidence"))
-
-
-@query("h22_promote", "select event_type as entity_type, json_extract_string(props, '$.k') as k, arg_max(event_id, (ts, event_id)) as latest_fact_id, count(*) as fact_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_at from events group by 1, 2")
-def h22(t):
-    facts = t.events.select(F.col("event_type").alias("entity_type"), F.get_json_object("props", "$.k").alias("k"), F.col("event_id").alias("fact_id"), "ts")
-    out = hydrate.promote(facts, ["entity_type", "k"], "ts", F.struct("ts", "fact_id"))
-    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_at", "last_at")})
-
-
 @query("h23_freshness", "select event_id, case when event_id % 11 = 0 then 'unknown' when epoch_us((select max(ts) from events)) // 1000000 - epoch_us(ts) // 1000000 > 86400 then 'stale' else 'fresh' end as state from events")
 def h23(t):
     now = t.events.agg(F.max("ts").cast("timestamp").alias("as_of"))
@@ -101,14 +71,6 @@ def j05(t):
     return govern.freshness_warnings(t.events.join(F.broadcast(now)), F.col("event_type"), F.col("ts").cast("timestamp"), F.col("as_of"))
 
 
-@query("h25_action_plan", "select user_id, case when n > 40 then 'fix_inputs' when user_id % 5 = 0 then 'configure_provider' when n < 3 then 'hydrate' when v < 40 then 'refresh' when v > 60 then 'materialise' else 'reuse' end as action from (select user_id, count(*) as n, avg(value) as v from events group by 1)")
-def h25(t):
-    u = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
-    state = F.when(F.col("n") < 3, None).when(F.col("v") < 40, "stale").otherwise("fresh")
-    errors = F.when(F.col("n") > 40, 1).otherwise(0)
-    return u.select("user_id", hydrate.plan_action(errors, F.col("user_id") % 5 != 0, state, F.col("v") <= 60).alias("action"))
-
-
 _BM25 = """with d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents), s as (select count(*) as n, avg(len(w)) as a from d),
 p as (select id, len(w) as l, unnest(w) as term from d), f as (select term, id, l, count(*) as tf from p where term in ('the', 'idiot', 'ering') group by 1, 2, 3), q as (select term, count(*) as df from f group by 1)
 select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) as score from f join q using (term), s group by 1 order by score desc, id limit 10"""
@@ -267,11 +229,6 @@ def h24(t):
     return hydrate.latest(rows, ["user_id", "event_type"], "at").select("user_id", "event_type", "value")
 
 
-@query("h11_observed_objects", "select event_id, -1 as item_index, '' as pointer from events")
-def h11(t):
-    return hydrate.objects(t.events.selectExpr("event_id as observation_id", "props as rawJson")).selectExpr("observation_id as event_id", "item_index", "pointer")
-
-
 @query("s01_windowed_events", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def s01(t):
     w = F.window(F.col("ts"), "1 hour")
