@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from weftgraph.queries import ORACLE, QUERIES, audits, documents, graph, hydration, models
+from weftgraph.queries import ORACLE, QUERIES, apidocs, audits, documents, graph, hydration, models
 
-__all__ = ["ORACLE", "QUERIES", "audits", "documents", "graph", "hydration", "models"]
+__all__ = ["ORACLE", "QUERIES", "apidocs", "audits", "documents", "graph", "hydration", "models"]

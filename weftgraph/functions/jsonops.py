@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -147,3 +147,39 @@ def quoted(c: Column) -> Column:
     """A text as a JSON string of ASCII."""
     body = F.to_json(F.struct(c.alias("x")))
     return ascii(F.substring(body, F.lit(6), F.length(body) - 6))
+
+
+def each_document(docs: DataFrame, id_col: str, json_col: str, f: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """id_col, ``status``, ``message`` and the columns of schema: the rows that f gives for each document, batch by batch.
+
+    A document that isn't a JSON object fails as ``validation``, one that f raises ValueError for as ``resolution``, any
+    other error is ``unexpected``; such a document has one row, with nulls. Failures never end the job."""
+    names = [x.strip().split()[0].strip("`") for x in schema.split(",")]
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def work(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out, none = [], (None,) * len(names)
+            for i, text in zip(frame[id_col], frame[json_col], strict=True):
+                try:
+                    spec = strict_object(text)
+                except (TypeError, ValueError) as e:
+                    out.append((i, "validation", str(e)[:300], *none))
+                    continue
+                try:
+                    out += [(i, "ok", "", *row) for row in f(spec)]
+                except ValueError as e:
+                    out.append((i, "resolution", str(e)[:300], *none))
+                except Exception as e:  # noqa: BLE001  whatever a document does, the others go on
+                    out.append((i, "unexpected", f"{type(e).__name__}: {e}"[:300], *none))
+            yield pd.DataFrame(out, columns=[id_col, "status", "message", *names]).astype(object)
+
+    return docs.select(id_col, json_col).mapInPandas(work, f"{id_col} {kind}, status string, message string, {schema}")
+
+
+def decode_blob(c: Column) -> Column:
+    """Text that may be stored as ``b64:`` and base64; what can't be decoded stays as it is, null is empty."""
+    plain = F.call_function("try_validate_utf8", F.try_to_binary(F.substring(c, 5, 1 << 30), F.lit("base64")).cast("string"))
+    return F.coalesce(F.when(c.startswith("b64:"), plain), c, F.lit(""))

@@ -11,15 +11,14 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.jsonops import strict_object
-from weftgraph.functions.scalar import module_of_path
+from weftgraph.operators.shapes import body_shape, component_kind, constraints, device_types, enum_texts, parameter_hint
 
 METHODS = ["get", "put", "post", "delete", "patch", "head", "options", "trace"]
 COMPOSITION = ["allOf", "oneOf", "anyOf"]
-CONSTRAINTS = ["minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "multipleOf", "minProperties", "maxProperties", "const", "default"]
 
 
 def canonical(x: Any) -> str:
@@ -27,29 +26,8 @@ def canonical(x: Any) -> str:
 
 
 def digest(x: Any) -> str:
-    return hashlib.sha1(canonical(x).encode()).hexdigest()
-
-
-def body_shape(body: dict) -> str:
-    """ref, composed, enum, map, object, array or scalar; the first that holds."""
-    if "$ref" in body:
-        return "ref"
-    if any(k in body for k in COMPOSITION):
-        return "composed"
-    if "enum" in body:
-        return "enum"
-    if body.get("properties"):
-        return "object"
-    if isinstance(body.get("additionalProperties"), dict):
-        return "map"
-    if body.get("type") == "array" or "items" in body:
-        return "array"
-    return "object" if body.get("type") == "object" else "scalar"
-
-
-def component_kind(body: dict) -> str:
-    shape = body_shape(body)
-    return {"composed": "union", "object": "object", "map": "object", "array": "array"}.get(shape, "primitive")
+    """The SHA-1 of x as JSON of ASCII with sorted keys."""
+    return hashlib.sha1(json.dumps(x, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
 def references(x: Any, via: str = "") -> Iterator[tuple[str, str]]:
@@ -106,10 +84,6 @@ def vendor(body: dict) -> dict:
     return {k: v for k, v in body.items() if k.startswith("x-")}
 
 
-def constraints(body: dict) -> dict:
-    return {k: body[k] for k in CONSTRAINTS if k in body}
-
-
 def coerce_default(body: dict) -> dict:
     """A default that is text becomes what the type says, where it can."""
     d, kind = body.get("default"), body.get("type")
@@ -222,7 +196,3 @@ def lineage(rows: DataFrame) -> DataFrame:
     """One lineage row for each row and source, with a digest id."""
     key = F.concat_ws("|", "table", "id", "provider", "parent", "name", "kind")
     return rows.select("table", "id", "provider", F.concat_ws(":", "table", "id", F.substring(F.sha1(key), 1, 16)).alias("projection_id")).distinct()
-
-
-def path_module(c: Column) -> Column:
-    return module_of_path(c)
