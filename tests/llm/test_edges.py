@@ -105,19 +105,20 @@ def test_suffix_dedup_random(spark):
     assert got == brute.suffix_dedup(rows)
 
 
-def test_maximal_repeats(spark):
-    a, b = words(11, 40)[:180], words(12, 40)[:150]
-    rows = [(0, "x" + a + "y" + b), (1, "p" + a + "q"), (2, "r" + b + "s" + a)]
+def test_maximal_groups(spark):
+    a, b, c = words(11, 40)[:180], words(12, 40)[:150], words(13, 60)[:260]
+    rows = [(0, "x" + a + "y" + b), (1, "p" + a + "q"), (2, "r" + b + "s" + a), (3, c), (4, c), (5, "1" + c[20:150] + "2")]
     job = suffix_dedup.Dedup(keyed(spark.createDataFrame(rows, "doc_id long, text string")))
     found = defaultdict(set)
-    for r in job.repeats().collect():
-        found[r["h"], r["repeat"], r["length"]].add((r[RID], r["start"]))
-    assert found
-    for (_, _, length), places in found.items():
-        texts = [rows[i][1].encode() for i in range(3)]
-        assert len({texts[i][s : s + length] for i, s in places}) == 1 and len(places) > 1
+    for r in job.groups().collect():
+        found[r["h"], r["repeat"], r["c"], r["length"]].add((r[RID], r["start"]))
+    texts = [t.encode() for _, t in rows]
+    assert any({i for i, _ in places} == {3, 4, 5} for places in found.values()) and any({i for i, _ in places} == {0, 1, 2} for places in found.values())
+    for (_, repeat, _, length), places in found.items():
+        assert len({texts[i][s : s + length] for i, s in places}) == 1 and len(places) > 1 and length >= 100
         w = texts[next(iter(places))[0]][next(iter(places))[1] :][:length]
-        assert places == {(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(b"(?=" + re.escape(w) + b")", t)}
+        every = {(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(b"(?=" + re.escape(w) + b")", t)}
+        assert places == every if repeat >= 0 else places <= every
 
 
 def test_suffix_dedup_empty(empty):

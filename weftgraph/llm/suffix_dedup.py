@@ -5,15 +5,17 @@ Equal windows have equal anchors at equal places, so that windows whose anchor o
 windows of one anchor occurrence are consecutive; together they cover its context. Then
 
 1. anchors are counted, and the occurrences of repeated ones are kept;
-2. equal contexts are one class, of which only the first occurrence goes on: all windows of the others repeat;
+2. equal contexts (by the 128-bit BLAKE2b digest of their bytes) are one class, of which only the first occurrence goes
+   on: all windows of the others repeat;
 3. the classes that share an anchor are a bucket. Its contexts' suffixes form an enhanced suffix array (ranks,
    common-prefix lengths). Only suffixes whose window can't be extended to the left with all its occurrences
    enter, and a stack scan closes the intervals of common-prefix length ``length`` or more: each is a repeat with
-   all its occurrences, maximal to the right, and to the left if the bytes before its occurrences differ;
+   all its occurrences, maximal to the right. One whose bytes before the occurrences differ, or are cut off, is
+   maximal to the left too: these are the groups that are put out (``groups``) and removed by;
 4. buckets with over ``bucket_cap`` classes are not sorted in one task: their windows are compared by 128-bit
-   hashes, grouped with partial aggregation.
+   digests, grouped with partial aggregation. The spans are the same.
 
-An occurrence is removed over the longest interval in which it isn't the first. Contexts are cut at the windows
+An occurrence is removed over the longest maximal group in which it isn't the first. Contexts are cut at the windows
 that share the anchor; a longer repeat shows in several buckets, and removed runs are merged per document.
 """
 
@@ -71,9 +73,17 @@ class Rolling:
         return _mix((self.sums[width:] - self.sums[:n]) * self.up[:n])
 
 
-def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, anchor hash, context hash) of each anchor occurrence of the rows of buf."""
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of the substrings [start, end) of buf, as two columns of signed longs."""
+    raw, make = buf.tobytes(), hashlib.blake2b
+    whole = b"".join([make(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(whole, np.int64).reshape(-1, 2)
+
+
+def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, lean: bool = False) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, anchor hash, context digest) of each anchor occurrence of the rows of buf; lean ones
+    have no digest."""
+    empty = tuple(np.zeros(n, t) for n, t in ((0, np.int64), (0, np.int64), (0, np.int64), (0, U), ((0, 2), np.int64)))
     n, width = len(buf), length - gram + 1
     if n < length:
         return empty
@@ -103,8 +113,7 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: in
     start, last = place[first], place[np.append(first[1:], len(place)) - 1]
     at = anchor[first]
     row = np.searchsorted(off, start, side="right") - 1
-    context = Rolling(buf, _BASE2, _BYTE2).of(start, last + length) + _mix((at - start).astype(U) * U(256) + (last - start).astype(U))
-    return row, start - off[row], last - start + 1, grams[at], context
+    return row, start - off[row], last - start + 1, grams[at], empty[-1] if lean else digests(buf, start, last + length)
 
 
 def _chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -117,21 +126,21 @@ def _chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def anchors(docs: DataFrame, length: int, gram: int, lean: bool) -> DataFrame:
-    """h (anchor), and unless lean c (context), RID and run (first window * 2**16 + windows) of every occurrence.
+    """h (anchor), and unless lean c and c2 (context), RID and run (first window * 2**16 + windows) of every occurrence.
 
     A row's hashes don't depend on the rows beside it.
     """
-    names = ["h", *([] if lean else ["c", RID, "run"])]
+    names = ["h", *([] if lean else ["c", "c2", RID, "run"])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, z in _chunks(off):
-                row, first, windows, h, c = anchor_runs(buf[off[a] : off[z]], off[a : z + 1] - off[a], length, gram)
-                cols = [h.view(np.int64), *([] if lean else [c.view(np.int64), ids[a:z][row], (first << 16) | windows])]
+                row, first, windows, h, c = anchor_runs(buf[off[a] : off[z]], off[a : z + 1] - off[a], length, gram, lean)
+                cols = [h.view(np.int64), *([] if lean else [c[:, 0], c[:, 1], ids[a:z][row], (first << 16) | windows])]
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=names)
 
     return docs.select(RID, "text").mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
@@ -210,31 +219,30 @@ class Repeats:
     def tree(self) -> list[tuple[int, int, int]]:
         return list(intervals(self.prefix.tolist(), self.length))
 
-    def maximal(self) -> Iterator[tuple[int, int, int]]:
-        """The intervals that no byte extends to the left: the byte before differs, or is cut off somewhere."""
+    def maximal(self) -> Iterator[tuple[int, int, int, bool]]:
+        """The intervals, and whether no byte extends them to the left: the byte before differs, or is cut off somewhere."""
         before = np.where(self.shift > 0, self.buf[np.maximum(self.place - 1, 0)].astype(np.int64), -1 - np.arange(len(self.place)))
         change = np.zeros(len(before) + 1, np.int64)
         if len(before) > 1:
             change[2:] = np.cumsum(before[1:] != before[:-1])
         for size, low, high in self.tree():
-            if change[high + 1] > change[low + 1]:
-                yield size, low, high
+            yield size, low, high, change[high + 1] > change[low + 1]
 
     def removed(self) -> np.ndarray:
-        """For each rank the bytes from its place that also start earlier; 0 for none."""
+        """For each rank the bytes from its place that also start earlier, by the maximal groups that hold it; 0 for none."""
         out, order = [0] * len(self.place), self.order.tolist()
         first: dict[int, tuple[int, int]] = {}  # by first rank of a closed interval: its last rank and its first occurrence
-        for size, low, high in self.tree():
+        for size, low, high, whole in self.maximal():
             best, i = -1, low
             while i <= high:
                 end, own = first.pop(i, (i, i))
                 if best < 0:
                     best = own
-                elif order[own] < order[best]:
-                    best, own = own, best
-                    out[own] = max(out[own], size)
                 else:
-                    out[own] = max(out[own], size)
+                    if order[own] < order[best]:
+                        best, own = own, best
+                    if whole:
+                        out[own] = max(out[own], size)
                 i = end + 1
             first[low] = (high, best)
         return np.array(out, np.int64)
@@ -277,8 +285,8 @@ class Dedup:
         twice = scratch.write(counts.where("n > 1").select("h"), "twice")  # a table, so that the join can split a hot anchor
         self.runs = scratch.write(anchors(self.docs, length, gram, False).join(twice, "h", "left_semi"), "runs")
         scratch.release()
-        firsts = self.runs.groupBy("h", "c").agg(F.min(F.struct(RID, "run")).alias("f"), F.count(F.lit(1)).alias("n"))
-        self.firsts = scratch.write(firsts.select("h", "c", f"f.{RID}", "f.run", "n"), "firsts")
+        firsts = self.runs.groupBy("h", "c", "c2").agg(F.min(F.struct(RID, "run")).alias("f"), F.count(F.lit(1)).alias("n"))
+        self.firsts = scratch.write(firsts.select("h", "c", "c2", f"f.{RID}", "f.run", "n"), "firsts")
         shared = self.firsts.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
         open_ = self.firsts.join(shared, "h").select("h", RID, "run", (F.col("classes") > self.cap).alias("large"))
         self.open = scratch.write(self._contexts(open_), "open")
@@ -320,21 +328,37 @@ class Dedup:
         return self._sorted().mapInArrow(work, f"{RID} long, a long, z long")
 
     def repeats(self) -> DataFrame:
-        """Maximal repeats among classes of equal contexts: h and ``repeat`` name one, with its length in bytes and
-        each occurrence's RID, start, and the class's size (equal contexts elsewhere, found in ``firsts``)."""
+        """Maximal repeats among classes of equal contexts: h and ``repeat`` name one, with its length in bytes, and the
+        RID, run and start of an occurrence in each class's first context."""
         length = self.length
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _bucket_batches(batches):
                 found, ids, run = _repeats(rows, length)
                 h = rows.column(0).to_numpy()
-                for size, low, high in found.maximal():
+                for size, low, high, whole in found.maximal():
+                    if not whole:
+                        continue
                     own = found.context[low : high + 1]
                     n = len(own)
-                    cols = [h[own], np.full(n, (int(found.place[low]) << 12) | size), np.full(n, size), ids[own], (run[own] >> 16) + found.shift[low : high + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "repeat", "length", RID, "start"])
-
-        return self._sorted().mapInArrow(work, f"h long, repeat long, length long, {RID} long, start long")
+                    cols = [h[own], np.full(n, (int(found.place[low]) << 12) | size), np.full(n, size), ids[own], run[own], (run[own] >> 16) + found.shift[low : high + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "repeat", "length", RID, "run", "start"])
+
+        return self._sorted().mapInArrow(work, f"h long, repeat long, length long, {RID} long, run long, start long")
+
+    def groups(self) -> DataFrame:
+        """The maximal repeat groups with all their occurrences: h and ``repeat`` name one, length, and each occurrence's RID
+        and start. A class of equal contexts that nothing else shares is a group of its own (``repeat`` is -1 and c tells
+        it from others of its anchor). Buckets over ``bucket_cap`` have their classes only."""
+        first = self.firsts.where("n > 1").select("h", "c", "c2", F.col(RID).alias("fr"), F.col("run").alias("fn"))
+        members = self.runs.join(first, ["h", "c", "c2"])
+        a, windows = F.shiftright("run", 16), F.col("run").bitwiseAND(F.lit(0xFFFF))
+        alone = members.select("h", F.lit(-1).cast("long").alias("repeat"), "c", (windows + (self.length - 1)).alias("length"), RID, a.alias("start"))
+        others = members.where((F.col(RID) != F.col("fr")) | (F.col("run") != F.col("fn"))).select("h", "fr", "fn", F.col(RID).alias("__r"), a.alias("__a"))
+        shared = self.repeats()
+        more = shared.withColumnsRenamed({RID: "fr", "run": "fn"}).join(others, ["h", "fr", "fn"])
+        shown = more.select("h", "repeat", F.lit(0).cast("long").alias("c"), "length", F.col("__r").alias(RID), (F.col("start") - F.shiftright("fn", 16) + F.col("__a")).alias("start"))
+        return shared.select("h", "repeat", F.lit(0).cast("long").alias("c"), "length", RID, "start").unionByName(shown).unionByName(alone)
 
     def window_spans(self) -> DataFrame:
         """RID, a, z: removed windows of the buckets that are too large for one task."""
@@ -349,8 +373,8 @@ class Dedup:
             context = np.repeat(np.arange(len(run)), windows)
             shift = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows)
             place = off[context] + shift
-            keys = [Rolling(buf, *x).of(place, place + length).view(np.int64) for x in ((_BASE, _BYTE), (_BASE2, _BYTE2))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, ids[context], (run >> 16)[context] + shift)], names=["k", "k2", RID, "a"])
+            keys = digests(buf, place, place + length)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (keys[:, 0], keys[:, 1], ids[context], (run >> 16)[context] + shift)], names=["k", "k2", RID, "a"])
 
         rows = self.open.where("large").select(RID, "run", "bytes").mapInArrow(over_batches(work), f"k long, k2 long, {RID} long, a long")
         first = rows.groupBy("k", "k2").agg(F.min(F.struct(RID, "a")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -358,8 +382,8 @@ class Dedup:
 
     def copy_spans(self) -> DataFrame:
         """RID, a, z: the contexts that aren't the first of their class."""
-        first = self.firsts.where("n > 1").select("h", "c", F.col(RID).alias("fr"), F.col("run").alias("fn"))
-        later = self.runs.join(first, ["h", "c"]).where((F.col(RID) != F.col("fr")) | (F.col("run") != F.col("fn")))
+        first = self.firsts.where("n > 1").select("h", "c", "c2", F.col(RID).alias("fr"), F.col("run").alias("fn"))
+        later = self.runs.join(first, ["h", "c", "c2"]).where((F.col(RID) != F.col("fr")) | (F.col("run") != F.col("fn")))
         a = F.shiftright("run", 16)
         return later.select(RID, a.alias("a"), (a + F.col("run").bitwiseAND(F.lit(0xFFFF)) + (self.length - 1)).alias("z"))
 
