@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 from typing import Any
@@ -114,3 +115,67 @@ def freshness_warnings(rows: DataFrame, label: Column, at: Column, as_of: Column
 def listed(rows: DataFrame, wanted: dict[str, object], order: Sequence[Column], limit: int, hidden: Sequence[str] = ()) -> DataFrame:
     """A reader's list: what is given of ``wanted`` filters, ``hidden`` columns stay back, and the first rows in order go."""
     return rows.where(all_given(wanted)).orderBy(*order).limit(limit).drop(*hidden)
+
+
+# ---- guards and hints
+WRITING = {"create", "merge", "set", "delete", "remove"}
+FORBIDDEN = {"drop", "alter", "load", "copy", "install", "call", "attach", "import", "export"}
+#: Sets of labels and relationships that one purpose needs.
+VIEWS: dict[str, set[str]] = {}
+
+
+def write_problem(text: str) -> str | None:
+    """Why a statement isn't one that writes: it defines or loads, or changes nothing; None if it may run."""
+    words = {w.lower() for w in re.findall(r"[A-Za-z_]+", re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "", text))}
+    if bad := sorted(words & FORBIDDEN):
+        return f"{bad[0].upper()} is not allowed"
+    return None if words & WRITING else "it changes nothing: CREATE, MERGE, SET, DELETE or REMOVE is needed"
+
+
+def literal(text: str) -> str:
+    """A text as a literal of the query language."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def alias_labels(text: str) -> dict[str, str]:
+    """The first label of each named node of a query."""
+    out: dict[str, str] = {}
+    for alias, label in re.findall(r"\(\s*([A-Za-z_]\w*)\s*:\s*([A-Za-z_]\w*)", text):
+        out.setdefault(alias, label)
+    return out
+
+
+def view_problem(view: str, text: str) -> str | None:
+    """Why a query isn't one of a view: a label or relationship that the view lacks."""
+    if view not in VIEWS:
+        return f"there is no view {view}; they are {', '.join(sorted(VIEWS))}"
+    used = set(re.findall(r"[(\[]\s*\w*\s*:\s*([A-Za-z_]\w*)", text)) | set(re.findall(r"\|\s*:?\s*([A-Za-z_]\w*)", text))
+    return f"{min(used - VIEWS[view])} is not in {view}" if used - VIEWS[view] else None
+
+
+def fetch_batch(rows: DataFrame, pk: str, ids: Sequence[object], most: int = BATCH) -> DataFrame:
+    """A row for each id asked for, in order, with ``found``; one join however many ids there are. Over ``most`` ids is an error."""
+    if not 0 < len(ids) <= most:
+        raise ValueError(f"1 to {most} ids are needed, not {len(ids)}")
+    asked = rows.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"{pk} {rows.schema[pk].dataType.simpleString()}, __n int")
+    out = F.broadcast(asked).join(rows.withColumn("found", F.lit(True)), pk, "left")  # at most ``most`` rows
+    return out.withColumn("found", F.coalesce("found", F.lit(False))).orderBy("__n").drop("__n")
+
+
+def error_hint(status: Column, message: Column, scopes: Column, similar: Column) -> Column:
+    """What a failed call should try: a scope, a path that is like the wrong one, or its parameters; '' where nothing is known."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    like = F.array_join(F.slice(similar, 1, 3), ", ")
+    return (
+        F.when((status == 403) | low.contains("scope"), F.concat(F.lit("check the scope: "), F.array_join(scopes, ", ")))
+        .when((status == 404) & (F.size(similar) > 0), F.concat(F.lit("no such path; like it are "), like))
+        .when(status == 404, "no such path")
+        .when(status == 400, "check the parameters")
+        .otherwise("")
+    )
+
+
+def validation_text(errors: Sequence[str], warnings: Sequence[str], known: Sequence[str]) -> str:
+    """What is wrong with a call, and which fields there are."""
+    out = [*[f"- error: {e}" for e in errors], *[f"- warning: {w}" for w in warnings]]
+    return "\n".join([f"{len(errors)} errors, {len(warnings)} warnings", *out, f"fields: {', '.join(known)}" if known else "fields: none are known"])

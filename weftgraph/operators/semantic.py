@@ -294,7 +294,7 @@ def typed_edges(all_edges: DataFrame, typed_ids: DataFrame) -> DataFrame:
 
 def catalogue_rank(rows: DataFrame, keys: list[str], body: str) -> Column:
     """A rank of variants of one name: the longest body first, of equal ones the greater hash."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.length(body).desc(), F.sha1(body).desc()))
+    return F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.length(body).desc(), F.sha1(body).desc()))
 
 
 def unknown_keys(body: dict, known: list[str], at: str = "") -> list[str]:

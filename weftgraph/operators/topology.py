@@ -71,3 +71,40 @@ def levels(jobs: DataFrame, needs: DataFrame, most: int = 1000) -> list[str]:
         return out
     except graphlib.CycleError:
         return names
+
+
+def rendered_trees(endpoints: DataFrame) -> DataFrame:
+    """(category, text): each category's endpoints (method, path, category, deprecated) as an indented tree.
+
+    A branch that leads to one branch only is on one line with it; an endpoint's line has its methods, sorted, and ``!`` if
+    any of them is deprecated. A category's tree is one text, made in one task from its distinct paths."""
+    per = endpoints.groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("(uncategorised)")).alias("category"), "path").agg(F.array_join(F.array_sort(F.collect_set(F.upper("method"))), ",").alias("methods"), F.bool_or(F.coalesce("deprecated", F.lit(False))).alias("deprecated"))
+
+    def work(frame):
+        import pandas as pd
+
+        root: dict = {}
+        ends: dict[tuple, str] = {}
+        for path, methods, old in zip(frame["path"], frame["methods"], frame["deprecated"], strict=True):
+            at, parts = root, tuple(p for p in path.split("/") if p)
+            for p in parts:
+                at = at.setdefault(p, {})
+            ends[parts] = f"[{methods}]{' !' if old else ''}"
+        name = frame["category"].iloc[0]
+        lines = [f"## {name} ({len(frame)})"]
+        todo = [((k,), 0) for k in sorted(root, reverse=True)]
+        while todo:
+            parts, depth = todo.pop()
+            at = root
+            for p in parts:
+                at = at[p]
+            label = [parts[-1]]
+            while len(at) == 1 and parts not in ends:
+                (k,) = at
+                parts, at = (*parts, k), at[k]
+                label.append(k)
+            lines.append("  " * depth + "/".join(label) + (f"  {ends[parts]}" if parts in ends else "/"))
+            todo += [((*parts, k), depth + 1) for k in sorted(at, reverse=True)]
+        return pd.DataFrame([(name, "\n".join(lines))], columns=["category", "text"])
+
+    return per.groupBy("category").applyInPandas(work, "category string, text string")

@@ -64,3 +64,10 @@ def unique_names(rows: DataFrame, base: str, order: Sequence[Column]) -> DataFra
     """rows with ``name``: base, base_2, base_3, ..."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
     return rows.withColumn("name", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+
+
+def replace_all(old: DataFrame, new: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """new in place of old, with carried columns of the old rows of the same keys where the new ones are null."""
+    had = old.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in carried])
+    out = new.join(had, list(keys), "left")
+    return out.withColumns({c: F.coalesce(c, f"__old_{c}") for c in carried}).select(*new.columns)
