@@ -66,13 +66,26 @@ def alternate_target(missing: DataFrame, ours: DataFrame, context: Sequence[str]
     return missing.join(one(missing, "a"), list(context), "left_semi").join(one(ours, "b"), list(context), "left_semi")
 
 
-def nearest_rank(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """The value at rank round-half-even(p * (n - 1)) of each group, no interpolation, as p50, p90, ..."""
-    order = Window.partitionBy(*group).orderBy(value)
-    whole = Window.partitionBy(*group)
-    ranked = df.select(*group, F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"))
-    at = [F.max(F.when(F.col("i") == F.bround(F.lit(p) * (F.col("n") - 1)), F.col("v"))).alias(f"p{round(100 * p)}") for p in shares]
-    return ranked.groupBy(*group).agg(*at)
+def nearest_rank(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float], ranges: int = 256) -> DataFrame:
+    """The value at rank round-half-even(p * (n - 1)) of each group, no interpolation, as p50, p90, ... Nulls don't count.
+
+    Equal values are counted with partial aggregation. Values are dealt to ranges between a group's least and greatest, and
+    ranges' counts are summed first, so that a group's values never meet in one task; only the ranges that hold a wanted
+    rank are looked into.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy(*group).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.sum("n").alias("__all"))
+    share = F.try_divide(F.col("v").cast("double") - F.col("__lo").cast("double"), F.col("__hi").cast("double") - F.col("__lo").cast("double"))
+    dealt = counts.join(ends, list(group)).withColumn("__r", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * ranges), F.lit(ranges - 1)).cast("int"))
+    sums = dealt.groupBy(*group, "__r").agg(F.sum("n").alias("s"), F.first("__all").alias("__all"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy(*group).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    want = F.explode(F.array(*[F.struct(F.lit(f"p{round(100 * p)}").alias("name"), F.bround(F.lit(p) * (F.col("__all") - 1)).cast("long").alias("at")) for p in shares])).alias("w")
+    held = sums.withColumn("__b", before).select(*group, "__r", "__b", "s", want).where((F.col("w.at") >= F.col("__b")) & (F.col("w.at") < F.col("__b") + F.col("s")))
+    inside = dealt.join(held.select(*group, "__r", "__b").distinct(), [*group, "__r"])
+    upto = F.col("__b") + F.sum("n").over(Window.partitionBy(*group, "__r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = inside.select(*group, "__r", "v", upto.alias("upto"), "n")
+    found = placed.join(held.select(*group, "__r", "w"), [*group, "__r"]).where((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("n")))
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("w.name") == f"p{round(100 * p)}", F.col("v"))).alias(f"p{round(100 * p)}") for p in shares])
 
 
 def gates(metrics: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -68,18 +68,6 @@ def lookup(ref: str, root: dict) -> Any:
     return at
 
 
-def required_paths(schema: dict, prefix: str = "") -> list[str]:
-    """Dotted paths of required leaves; [] for items of arrays."""
-    if schema.get("type") == "array" or "items" in schema:
-        return required_paths(schema.get("items") or {}, f"{prefix}[]")
-    names, props = schema.get("required") or [], schema.get("properties") or {}
-    out: list[str] = []
-    for n in names:
-        path = f"{prefix}.{n}" if prefix else n
-        out += required_paths(props.get(n) or {}, path) or [path]
-    return out
-
-
 def vendor(body: dict) -> dict:
     return {k: v for k, v in body.items() if k.startswith("x-")}
 
@@ -120,7 +108,15 @@ def rows_of(provider: str, spec: dict) -> Iterator[tuple]:
         for prop, own in (body.get("properties") or {}).items():
             own = own if isinstance(own, dict) else {}
             pid = f"{cid}#prop:{prop}"
-            yield "property", pid, cid, prop, str(own.get("type") or ("ref" if "$ref" in own else "")), canonical({"required": prop in must, "constraints": constraints(own), "extensions": vendor(own)})
+            full = resolved_once(own)
+            said = {"required": prop in must, "readOnly": bool(full.get("readOnly")), "enumValues": enum_texts(full), "supportedDeviceTypes": device_types(full), "constraints": constraints(own), "extensions": {**vendor(full), **vendor(own)}}
+            yield "property", pid, cid, prop, str(own.get("type") or ("ref" if "$ref" in own else "")), canonical(said)
+            yield "edge", cid, pid, "properties", "HAS_PROPERTY", ""
+            if isinstance(own.get("$ref"), str):
+                yield "edge", pid, target(own["$ref"]), prop, "PROPERTY_OF_TYPE", ""
+            items = own.get("items")
+            if isinstance(items, dict) and (items.get("properties") or isinstance(items.get("$ref"), str)):
+                yield "edge", pid, target(items["$ref"]) if "$ref" in items else f"{pid}#items", prop, "HAS_ITEM_SCHEMA", ""
             if own.get("properties"):
                 yield from component(f"{pid}#object", prop, own)
             if isinstance(own.get("items"), dict) and own["items"].get("properties"):
@@ -132,12 +128,20 @@ def rows_of(provider: str, spec: dict) -> Iterator[tuple]:
                 else:
                     yield from component(f"{cid}#{k}:{i}", name, part)
                     yield "edge", cid, f"{cid}#{k}:{i}", k, "COMPOSED_OF", ""
-        if isinstance(body.get("additionalProperties"), dict):
-            yield from component(f"{cid}#additionalProperties", name, body["additionalProperties"])
+        more = body.get("additionalProperties")
+        if isinstance(more, dict) and isinstance(more.get("$ref"), str):
+            yield "edge", cid, target(more["$ref"]), "", "HAS_VALUE_SCHEMA", ""
+        elif isinstance(more, dict):
+            yield from component(f"{cid}#additionalProperties", name, more)
             yield "edge", cid, f"{cid}#additionalProperties", "", "HAS_VALUE_SCHEMA", ""
         for ref, via in references({k: v for k, v in body.items() if k not in COMPOSITION}):
             yield "edge", cid, target(ref), via, "REFERENCES", ""
 
+    def resolved_once(x: Any) -> dict:
+        x = x if isinstance(x, dict) else {}
+        found = lookup(x["$ref"], spec) if isinstance(x.get("$ref"), str) else None
+        return {**found, **{k: v for k, v in x.items() if k != "$ref"}} if isinstance(found, dict) else x
+
     def target(ref: str) -> str:
         parts = ref.split("/")
         return f"{provider}:{parts[-2] if len(parts) > 2 else 'schemas'}:{parts[-1]}"
@@ -151,11 +155,12 @@ def rows_of(provider: str, spec: dict) -> Iterator[tuple]:
                 continue
             eid = f"{method.upper()}:{path}"
             yield "endpoint", eid, "", str(op.get("operationId") or ""), (op.get("tags") or ["uncategorised"])[0], canonical({"summary": op.get("summary") or "", "deprecated": bool(op.get("deprecated"))})
-            merged = {(p.get("in"), p.get("name")): p for p in [*(item.get("parameters") or []), *(op.get("parameters") or [])] if isinstance(p, dict)}
+            merged = {(p.get("in"), p.get("name")): p for p in map(resolved_once, [*(item.get("parameters") or []), *(op.get("parameters") or [])])}
             for (where, name), p in merged.items():
-                yield "parameter", f"{eid}#param:{where}:{name}", eid, str(name), str(where), canonical({"required": bool(p.get("required")), "type": (p.get("schema") or {}).get("type") or ""})
+                schema = p.get("schema") if isinstance(p.get("schema"), dict) else {}
+                yield "parameter", f"{eid}#param:{where}:{name}", eid, str(name), str(where), canonical({"required": bool(p.get("required")), "type": schema.get("type") or "", "hint": parameter_hint(p), "enumValues": enum_texts(schema)})
             for site, rid, part in [("REQUEST", f"{eid}#requestBody", op.get("requestBody")), *[("RESPONSE", f"{eid}#response:{s}", r) for s, r in (op.get("responses") or {}).items()]]:
-                for media, content in ((part or {}).get("content") or {}).items():
+                for media, content in (resolved_once(part).get("content") or {}).items():
                     mid = f"{rid}:{media.replace('/', '~1').replace(':', '~3') or '_'}"
                     yield site.lower(), mid, eid, media, rid.rpartition(":")[2] if site == "RESPONSE" else "", ""
                     for ref, _ in references((content or {}).get("schema") or {}):
@@ -188,7 +193,7 @@ def winners(rows: DataFrame) -> DataFrame:
 
 def unresolved(rows: DataFrame) -> DataFrame:
     """Targets of edges that no component is, as placeholders."""
-    ends = rows.where("table = 'edge'").select(F.col("parent").alias("id")).distinct()
+    ends = rows.where("table = 'edge' and kind <> 'HAS_PROPERTY'").select(F.col("parent").alias("id")).distinct()
     return ends.join(rows.where("table = 'component'").select("id"), "id", "left_anti").select("id", F.lit("unresolved").alias("kind"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scalar import contains_ci
+from weftgraph.operators.paths import cut
 
 K1, B = 1.2, 0.75
 
@@ -37,22 +39,37 @@ def build(docs: DataFrame, id_col: str, *columns: str) -> Index:
 def bm25(docs: DataFrame, id_col: str, columns: Sequence[str], query: str, limit: int = 10, every: bool = False) -> DataFrame:
     """(id, score): the best documents for a query's words; ``every`` asks for all of them. Ties by id.
 
-    Only the query's words are posted: other terms are filtered out before anything is shuffled.
+    Words in quotes have to stand side by side, a word that ends in ``*`` is a prefix. Documents are split once: a row of
+    each has its length and how often it holds each asked word, and that small table gives statistics and scores alike.
     """
-    wanted = sorted(set(query.lower().split()))
+    asked = wanted(query)
     words = docs.select(F.col(id_col).alias("id"), tokens(F.concat_ws(" ", *columns)).alias("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg"))
-    asked = F.array(*[F.lit(w) for w in wanted])
-    posts = words.select("id", F.size("w").alias("len"), F.explode(F.filter("w", lambda x: F.array_contains(asked, x))).alias("term"))
-    posts = posts.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = posts.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row of statistics, one for each query word
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = joined.groupBy("id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("k"))
-    if every:
-        scored = scored.where(F.col("k") == len(wanted))
-    return scored.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    per = cut(words.select("id", F.size("w").alias("len"), *[_times(F.col("w"), a).alias(f"t{i}") for i, a in enumerate(asked)]), "terms")
+    stats = per.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(asked))])
+    hit = reduce(lambda a, b: (a & b) if every else (a | b), [F.col(f"t{i}") > 0 for i in range(len(asked))], F.lit(every))
+    joined = per.where(hit).crossJoin(F.broadcast(stats))  # one row of statistics
+
+    def part(i: int) -> Column:
+        idf = F.ln(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        return idf * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+
+    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(asked))], F.lit(0.0))
+    return joined.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def wanted(query: str) -> list[tuple[str, ...]]:
+    """The words, ``prefix*`` words and quoted phrases of a query, each once."""
+    found = [tuple(re.findall(r"[a-z0-9]+\*?", (quoted or word).lower())) for quoted, word in re.findall(r'"([^"]*)"|(\S+)', query)]
+    return sorted({f for f in found if f})
+
+
+def _times(words: Column, asked: tuple[str, ...]) -> Column:
+    """How often the asked words stand side by side."""
+    is_ = lambda x, a: x.startswith(a[:-1]) if a.endswith("*") else x == a
+    if len(asked) == 1:
+        return F.size(F.filter(words, lambda x: is_(x, asked[0])))
+    here = lambda x, i: reduce(lambda a, b: a & b, [is_(F.get(words, i + k), a) for k, a in enumerate(asked)])
+    return F.size(F.filter(F.transform(words, lambda x, i: F.coalesce(here(x, i), F.lit(False))), lambda ok: ok))
 
 
 def keywords(rows: DataFrame, weights: dict[str, int], query: str, order: Sequence[str], limit: int = 40) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +41,12 @@ def owned_by(keys: DataFrame, pk: str, root: str) -> DataFrame:
 
 
 def richest(rows: DataFrame, keys: Sequence[str], richness: Column, ties: Sequence[Column]) -> DataFrame:
-    """The richest row of each key; among equals the first by ties."""
-    w = Window.partitionBy(*keys).orderBy(richness.desc(), *ties)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The richest row of each key; among equals the one with the greatest ties, in order.
+
+    A partial aggregate finds it, so that a hot key's rows are neither sorted nor brought together."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(richness.alias("r"), *[t.alias(f"t{i}") for i, t in enumerate(ties)])).alias("__v"))
+    return best.select(*keys, "__v.*").select(*rows.columns)
 
 
 def merge_outcomes(rows: DataFrame, keys: Sequence[str], richness: Column, order: Sequence[Column]) -> DataFrame:
@@ -53,17 +57,33 @@ def merge_outcomes(rows: DataFrame, keys: Sequence[str], richness: Column, order
 
 
 def variant_ids(rows: DataFrame, keys: Sequence[str], body: str, base_id: Column) -> DataFrame:
-    """rows with ``variant_id``: the richest body of a key has the base id, others ``@`` and 12 digits of their SHA-1."""
+    """rows with ``variant_id``: the richest body of a key has the base id, others ``@`` and 12 digits of their SHA-1.
+
+    The richest body's length and digest, not bodies, are aggregated and joined back; null keys are keys like others."""
     digest = F.sha1(F.col(body))
-    best = F.max(F.struct(F.length(body), digest)).over(Window.partitionBy(*keys))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.length(body), digest)).alias("__best")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     own = F.struct(F.length(body), digest)
-    return rows.withColumn("variant_id", F.when(own == best, base_id).otherwise(F.concat(base_id, F.lit("@"), F.substring(digest, 1, 12))))
-
-
-def unique_names(rows: DataFrame, base: str, order: Sequence[Column]) -> DataFrame:
-    """rows with ``name``: base, base_2, base_3, ..."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return rows.withColumn("name", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+    out = rows.join(best, on, "left").withColumn("variant_id", F.when(own.eqNullSafe(F.col("__best")), base_id).otherwise(F.concat(base_id, F.lit("@"), F.substring(digest, 1, 12))))
+    return out.select(*rows.columns, "variant_id")
+
+
+def unique_names(rows: DataFrame, base: str, order: Sequence[Column], buckets: int = 64) -> DataFrame:
+    """rows with ``name``: base, base_2, base_3, ... in order of one column.
+
+    Rows of a base are dealt to ranges of the order's values (quantiles of a sketch), numbered range by range, and start
+    where those before end, so that a base that most rows have is numbered in many tasks."""
+    (by,) = order
+    dealt = rows.withColumn("__o", by)
+    cuts = dealt.groupBy(base).agg(F.percentile_approx("__o", [k / buckets for k in range(1, buckets)], 1000).alias("__cuts")).withColumnRenamed(base, "__base")
+    dealt = dealt.join(cuts, F.col(base).eqNullSafe(F.col("__base")), "left").withColumn("__b", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__o"))), F.lit(0))).drop("__cuts", "__base")
+    sizes = dealt.groupBy(F.col(base).alias("__base"), F.col("__b").alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__base").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__base", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    ranked = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(base, "__b").orderBy("__o")))
+    n = F.col("__start") + F.col("__r")
+    joined = ranked.join(starts, F.col(base).eqNullSafe(F.col("__base")) & (F.col("__b") == F.col("__bucket")))
+    return joined.withColumn("name", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string")))).select(*rows.columns, "name")
 
 
 def replace_all(old: DataFrame, new: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:

@@ -462,3 +462,50 @@ def i03(t):
     composed = t.nation.select(((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst"))
     out = context.fts_to_endpoints(hits, owner, refers, composed, 2)
     return out.select(F.col("endpoint_id").alias("endpoint"), F.col("component_id").cast("int").alias("component"))
+
+
+_ROWS = {"component": 9, "property": 11, "endpoint": 2, "parameter": 3, "request": 1, "response": 3, "HAS_PROPERTY": 11, "PROPERTY_OF_TYPE": 1, "HAS_ITEM_SCHEMA": 1, "COMPOSED_OF": 3, "HAS_VALUE_SCHEMA": 1, "REFERENCES": 3, "REQUEST_REFERENCES": 1, "RESPONSE_REFERENCES": 1}
+
+
+def _decomposed(t):
+    return decompose.decompose(_specs(t).select(F.col("spec_id").cast("string").alias("provider"), "spec"))
+
+
+@query("f14_decompose_specs", _counts("kind", _ROWS))
+def f14(t):
+    rows = _decomposed(t)
+    return rows.groupBy(F.when(F.col("table") == "edge", F.col("kind")).otherwise(F.col("table")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f19_properties", "select n_nationkey::varchar as provider, p.* from nation, (values ('name', true, '/m:n/name', ''), ('region', true, '', ''), ('code', false, '', ''), ('tags', false, '', ''), ('place', false, '', '')) as p(name, required, value_path, enums)")
+def f19(t):
+    own = _decomposed(t).where(F.col("table") == "property").where(F.col("parent").endswith(":schemas:Nation"))
+    say = lambda k: F.coalesce(F.get_json_object("body", k), F.lit(""))
+    return own.select("provider", "name", (say("$.required") == "true").alias("required"), say("$.extensions.x-path").alias("value_path"), F.replace(say("$.enumValues"), F.lit("[]"), F.lit("")).alias("enums"))
+
+
+@query("f15_parameters", "select n_nationkey::varchar as provider, p.* from nation, (values ('GET', 'limit', 'string', 'pagination'), ('GET', 'ids', 'string', 'comma-list'), ('PUT', 'limit', 'integer', 'pagination')) as p(method, name, type, hint)")
+def f15(t):
+    own = _decomposed(t).where(F.col("table") == "parameter")
+    say = lambda k: F.get_json_object("body", k)
+    return own.select("provider", F.substring_index("parent", ":", 1).alias("method"), "name", say("$.type").alias("type"), say("$.hint").alias("hint"))
+
+
+@query("f22_unresolved", "select n_nationkey || ':schemas:Lost' as id, 'unresolved' as kind from nation")
+def f22(t):
+    lost = {"components": {"schemas": {"A": {"allOf": [_REF("Lost"), _REF("B")]}, "B": {}}}}
+    rows = decompose.decompose(_specs(t, lost).select(F.col("spec_id").cast("string").alias("provider"), "spec"))
+    return decompose.unresolved(rows)
+
+
+@query("g23_lineage", _counts("kind", {k: v for k, v in _ROWS.items() if not k.isupper()}))
+def g23(t):
+    lineage = decompose.lineage(_decomposed(t).where(F.col("table") != "edge"))
+    return lineage.groupBy(F.col("table").alias("kind")).agg(F.count_distinct("projection_id").alias("n"))
+
+
+@query("g24_degraded", "select case when c_custkey % 3 = 0 then 'failed' else 'component' end as kind, count(*) as n from customer group by 1")
+def g24(t):
+    spec = F.when(F.col("c_custkey") % 3 == 0, "{bad").otherwise('{"components": {"schemas": {"A": {}}}}')
+    rows = decompose.decompose(t.customer.select(F.col("c_custkey").cast("string").alias("provider"), spec.alias("spec")))
+    return rows.groupBy(F.col("table").alias("kind")).agg(F.count(F.lit(1)).alias("n"))

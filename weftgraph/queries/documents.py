@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import jsonops, scalar
-from weftgraph.operators import decompose, govern, hydrate, paths, search, topology, upsert
+from weftgraph.operators import govern, hydrate, paths, search, topology, upsert
 from weftgraph.queries import query
 from weftgraph.sources import pages
 
@@ -96,10 +96,11 @@ def i07(t):
     return search.suggest(t.pages, "url", "/page/http:/example")
 
 
-@query("i08_path_tree", "with p as (select list_filter(string_split(url, '/'), lambda x: x <> '') as p, 'GET' as m from pages) select '/' || array_to_string(p[1:d], '/') as prefix, d as depth, count(*) as n_paths, 'GET' as methods, false as deprecated from (select p, unnest(range(1, len(p) + 1)) as d from p) group by 1, 2")
+@query("i08_path_tree", "with p as (select list_filter(string_split(url, '/'), lambda x: x <> '') as p, case page_id % 3 when 0 then 'GET' when 1 then 'POST' else 'DELETE' end as m, page_id % 4 = 0 as d from pages) select '/' || array_to_string(p[1:k], '/') as prefix, k as depth, count(*) as n_paths, string_agg(distinct m, ',' order by m) as methods, bool_or(d) as deprecated from (select p, m, d, unnest(range(1, len(p) + 1)) as k from p) group by 1, 2")
 def i08(t):
-    rows = t.pages.select("url", F.lit("GET").alias("m"))
-    return topology.path_tree(rows, "url", "m", F.lit(False)).withColumn("depth", F.col("depth").cast("long"))
+    method = F.when(F.col("page_id") % 3 == 0, "GET").when(F.col("page_id") % 3 == 1, "POST").otherwise("DELETE")
+    rows = t.pages.select("url", method.alias("m"), "page_id")
+    return topology.path_tree(rows, "url", "m", F.col("page_id") % 4 == 0).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query("i10_page_text")
@@ -117,9 +118,9 @@ def a21(t):
     return t.pages.select("page_id", F.explode(pages.links(F.col("html"))).alias("link"))
 
 
-@query("i14_link_aggregation", "select o_custkey as a, l_suppkey as b, arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag)) as first_price, string_agg(l_partkey::varchar, ',' order by l_orderkey, l_linenumber, l_partkey) as parts, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag)) as last_flag, count(*) as n_links from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 30 group by 1, 2")
+@query("i14_link_aggregation", "select o_custkey as a, l_suppkey as b, arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag)) as first_price, string_agg(l_partkey::varchar, ',' order by l_orderkey, l_linenumber, l_partkey) as parts, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag)) as last_flag, count(*) as n_links from orders join lineitem on l_orderkey = o_orderkey group by 1, 2")
 def i14(t):
-    links = t.orders.join(t.lineitem.where("l_quantity > 30"), F.col("l_orderkey") == F.col("o_orderkey")).withColumnsRenamed({"o_custkey": "a", "l_suppkey": "b"})
+    links = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).withColumnsRenamed({"o_custkey": "a", "l_suppkey": "b"})
     return topology.aggregate_links(links, "a", "b", {"first_price": "l_extendedprice"}, {"parts": "l_partkey"}, {"last_flag": "l_returnflag"}, F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"))
 
 
@@ -140,18 +141,6 @@ def i19(t):
     return topology.undirected(rows, F.struct("l_orderkey", "l_linenumber", "q")).select("src", "dst", "q")
 
 
-_SPARSE = "select o_orderkey % 977 as src, 1000 + (o_custkey * 31) % 701 as dst from orders where o_orderkey % 3 = 0 and o_totalprice > 150000"
-
-
-def _sparse(t):
-    return t.orders.where("o_orderkey % 3 = 0 and o_totalprice > 150000").selectExpr("o_orderkey % 977 as src", "1000 + (o_custkey * 31) % 701 as dst")
-
-
-@query("i20_components", f"with recursive e as ({_SPARSE}), b as (select src, dst from e union select dst, src from e), r as (select src as node, src as lab from b union select r.node, b.dst from r join b on r.lab = b.src) select node, min(lab) as component from r group by 1")
-def i20(t):
-    return paths.components(_sparse(t))
-
-
 #: Customer -> nation <- supplier of all rows; the node's kind is in its key, so that no two nodes share one.
 _PLACES = "select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier"
 
@@ -163,18 +152,22 @@ def _places(t):
     return lives.unionByName(based).where("src is not null and dst is not null")
 
 
-@query("i20_components_all", f"with recursive e as (select * from ({_PLACES}) where src is not null and dst is not null), b as (select src, dst from e union select dst, src from e), r as (select src as node, src as lab from b union select r.node, b.dst from r join b on r.lab = b.src) select node, min(lab) as component from r group by 1")
-def i20_all(t):
+@query("i20_components", f"with recursive e as (select * from ({_PLACES}) where src is not null and dst is not null), b as (select src, dst from e union select dst, src from e), r as (select src as node, src as lab from b union select r.node, b.dst from r join b on r.lab = b.src) select node, min(lab) as component from r group by 1")
+def i20(t):
     return paths.components(_places(t))
 
 
-@query("i21_distances")
+#: What the graph of _PLACES is: a star for each nation.
+_STARS = "select k, count(*) as m from (select c_nationkey as k from customer union all select s_nationkey from supplier) where k is not null group by 1"
+
+
+@query("i21_distances", f"select max(case when m > 1 then 2 else 1 end)::int as diameter, round(sum(2 * m * (m - 1) + 2 * m) / sum(m * (m - 1) + 2 * m), 2) as mean_path from ({_STARS})")
 def i21(t):
     d = paths.distances(_places(t))
     return d.agg(F.max("depth").alias("diameter"), F.round(F.avg(F.when(F.col("seed") != F.col("node"), F.col("depth"))), 2).alias("mean_path"))
 
 
-@query("i22_bridges_and_cut_points")
+@query("i22_bridges_and_cut_points", f"select 'bridge' as kind, least(src, dst) as a, greatest(src, dst) as b from ({_PLACES}) where src is not null and dst is not null union all select 'articulation', 'n' || k, null from ({_STARS}) where m > 1")
 def i22(t):
     return paths.cuts(_places(t))
 
@@ -185,7 +178,7 @@ def i24(t):
     return topology.weak_links(rows).selectExpr("l_orderkey as o", "l_linenumber as n", "reason")
 
 
-def _rank_sql(turns: int, edges: str = _SPARSE) -> str:
+def _rank_sql(turns: int, edges: str) -> str:
     out = f"with e as materialized (select distinct src, dst from ({edges})), nodes as materialized (select src as node from e union select dst from e), deg as materialized (select src, count(*) as deg from e group by 1), n as (select count(*)::double as n from nodes), r0 as materialized (select node, 1.0::double / n as rank from nodes, n)"
     for k in range(1, turns + 1):
         p = f"r{k - 1}"
@@ -193,13 +186,8 @@ def _rank_sql(turns: int, edges: str = _SPARSE) -> str:
     return out + f" select node, round(rank, 8) as rank from r{turns}"
 
 
-@query("i25_pagerank", _rank_sql(5))
+@query("i25_pagerank", _rank_sql(5, f"select * from ({_PLACES}) where src is not null and dst is not null"))
 def i25(t):
-    return paths.pagerank(_sparse(t), 5).select("node", F.round("rank", 8).alias("rank"))
-
-
-@query("i25_pagerank_all", _rank_sql(5, f"select * from ({_PLACES}) where src is not null and dst is not null"))
-def i25_all(t):
     return paths.pagerank(_places(t), 5).select("node", F.round("rank", 8).alias("rank"))
 
 
@@ -211,7 +199,7 @@ def j03(t):
     return t.documents.select("doc_id", (cut & (c != F.col("text"))).alias("truncated"), size.alias("size_bytes"))
 
 
-@query("j04_byte_cap", "select doc_id, s::bigint as running_bytes from (select doc_id, sum(octet_length(encode(text))) over (order by doc_id) as s from documents where doc_id < 2000) where s <= 50000")
+@query("j04_byte_cap", "select doc_id, s::bigint as running_bytes from (select doc_id, sum(octet_length(encode(text))) over (order by doc_id) as s from documents) where s <= 50000")
 def j04(t):
     return govern.cap_bytes_by_id(t.documents, "doc_id", F.col("text"), govern.BYTES).select("doc_id", "running_bytes")
 
@@ -236,13 +224,6 @@ def s01(t):
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
 
 
-@query("f14_decompose_specs")
-def f14(t):
-    spec = F.to_json(F.struct(F.struct(F.struct(F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit("string").alias("type")).alias("name"), F.struct(F.concat(F.lit("#/components/schemas/T"), F.col("n_regionkey").cast("string")).alias("$ref")).alias("region")).alias("properties")).alias("Nation")).alias("schemas")).alias("components")))
-    specs = t.nation.select(F.col("n_name").alias("provider"), spec.alias("spec"))
-    return decompose.decompose(specs).groupBy("table", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("w01_running_order", "select o_custkey as cust, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth from orders")
 def w01(t):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

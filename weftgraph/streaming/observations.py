@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.upsert import upsert
-
 
 def event_stream(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """Events of Parquet files that arrive in a folder; times without zone are UTC."""
@@ -35,15 +33,15 @@ def latest_state(path: str, keys: list[str], at: str) -> Callable[[DataFrame, in
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         cols = [c for c in batch.columns if c not in keys]
-        now = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(at)).alias("v")).select(*keys, "v.*")
-        try:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            both = old.unionByName(now)
-            newest = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(at)).alias("v")).select(*keys, "v.*")
-            now = upsert(old, newest, keys)
-        except Exception as e:  # noqa: BLE001
-            if number and "PATH_NOT_FOUND" not in str(e):
-                raise
-        now.write.mode("overwrite").parquet(f"{path}/v{number}")
+        newest = lambda df: df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(at)).alias("v")).select(*keys, "v.*")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        whole = [int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        before = [v for v in whole if v < number]  # a batch that is run again starts from the version before it, not from its own
+        if number and not before:
+            raise FileNotFoundError(f"batch {number} needs the version before it in {path}, and there is none")
+        rows = spark.read.parquet(f"{path}/v{max(before)}").unionByName(batch) if before else batch
+        newest(rows).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return step
