@@ -50,8 +50,10 @@ def test_shared_objects_within_shared_ones():
     doc = {"paths": {"/x": {"post": {"requestBody": {"a": outer, "b": outer}}}}}
     out = normalise.normalised(doc)
     shelf = out["components"]["schemas"]
-    assert len(shelf) == 2 and "$ref" in out["paths"]["/x"]["post"]["requestBody"]["a"]
-    assert all("$ref" not in json.dumps(v) for k, v in shelf.items() if v == inner)
+    body = out["paths"]["/x"]["post"]["requestBody"]
+    assert body["a"] == body["b"] and list(body["a"]) == ["$ref"]
+    assert normalise.expand(body["a"], {"components": out["components"]}) == outer and inner in shelf.values()
+    assert normalise.normalised(out) == out
 
 
 def test_richest_and_cycles():
