@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from weftgraph.queries import ORACLE, QUERIES, apidocs, audits, documents, graph, hydration, loads, models
+from weftgraph.queries import ORACLE, QUERIES, apidocs, audits, documents, graph, hydration, loads, models, parts
 
-__all__ = ["ORACLE", "QUERIES", "apidocs", "audits", "documents", "graph", "hydration", "loads", "models"]
+__all__ = ["ORACLE", "QUERIES", "apidocs", "audits", "documents", "graph", "hydration", "loads", "models", "parts"]

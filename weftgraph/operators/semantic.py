@@ -305,3 +305,17 @@ def unknown_keys(body: dict, known: list[str], at: str = "") -> list[str]:
 def kept_raw(x: Any, kind: str, is_schema: bool) -> str:
     """The raw JSON that is kept of a node: of schemas, operations, parameters, bodies and responses, and of no other."""
     return json.dumps(x, sort_keys=True, separators=(",", ":")) if is_schema or kind in ("Operation", "Parameter", "RequestBody", "Response", "MediaType", "Property") else ""
+
+
+def typed_id(provider: Column, pointer: Column) -> Column:
+    """A schema's id from its pointer: ``provider:section:Name``, and of what is within it, each step after a ``#``."""
+    inner = F.regexp_replace(pointer, "^/components/([^/]+)/([^/]+)", "$1:$2")
+    for step, mark in (("/(properties|patternProperties)/([^/]+)", "#prop:$2"), ("/(allOf|anyOf|oneOf|prefixItems)/([0-9]+)", "#$1:$2"), ("/(items|additionalProperties|not)(?=/|#|$)", "#$1")):
+        inner = F.regexp_replace(inner, step, mark)
+    return F.concat_ws(":", provider, inner)
+
+
+def typed_tables(all_nodes: DataFrame, all_edges: DataFrame, kinds: list[str], rels: list[str]) -> dict[str, DataFrame]:
+    """A table for each kind of node and relationship, in the columns that it has of its own."""
+    out = {k: all_nodes.where(F.col("kind") == k).select("semantic_id", "spec_id", "stable_key", "name", "pointer", "summary") for k in kinds}
+    return out | {r: all_edges.where(F.col("kind") == r).select("src", "dst", "rule", "evidence") for r in rels}

@@ -62,7 +62,12 @@ class _Parser:
     def peek(self, k: int = 0) -> str:
         return self.toks[self.i + k][1].lower() if self.i + k < len(self.toks) else ""
 
+    def kind(self) -> str:
+        return self.toks[self.i][0] if self.i < len(self.toks) else ""
+
     def take(self) -> str:
+        if self.i >= len(self.toks):
+            raise CypherError("the query ends too early")
         self.i += 1
         return self.toks[self.i - 1][1]
 
@@ -169,8 +174,7 @@ class Query:
 
     def _value(self) -> Any:
         """A constant or a parameter as a Python value."""
-        kind, x = self.p.toks[self.p.i]
-        self.p.i += 1
+        kind, x = self.p.kind(), self.p.take()
         if kind == "str":
             return re.sub(r"\\(.)", r"\1", x[1:-1])
         if kind == "num":
@@ -287,7 +291,7 @@ class Query:
     def _node(self) -> tuple[str, list[str], dict[str, Column]]:
         p = self.p
         p.need("(")
-        var = p.name() if p.toks[p.i][0] == "id" else self._new()
+        var = p.name() if p.kind() == "id" else self._new()
         labels = []
         while p.ate(":") or p.ate("|"):
             labels.append(p.name())
@@ -315,13 +319,13 @@ class Query:
             p.need("-")
         var, names, props, lo, hi = self._new(), [], {}, 1, 1
         if p.ate("["):
-            if p.toks[p.i][0] == "id":
+            if p.kind() == "id":
                 var = p.name()
             while p.ate(":") or p.ate("|"):
                 p.ate(":")
                 names.append(p.name())
             if p.ate("*"):
-                lo = int(p.take()) if p.toks[p.i][0] == "num" else 1
+                lo = int(p.take()) if p.kind() == "num" else 1
                 hi = int(p.take()) if p.ate("..") else lo
             props = self._map("]")
         if back:
@@ -643,7 +647,7 @@ class Query:
             p.need(")")
             return F.count(F.lit(1))
         distinct = p.ate("distinct")
-        if name in ("count", "collect", "labels", "id") and p.toks[p.i][0] == "id" and p.peek(1) == ")" and p.toks[p.i][1] in self.vars:
+        if name in ("count", "collect", "labels", "id") and p.kind() == "id" and p.peek(1) == ")" and p.toks[p.i][1] in self.vars:
             v = p.name()
             p.need(")")
             key = f"{v}._id" if f"{v}._id" in self._base().columns or name in ("labels", "id") else f"{v}.src"
