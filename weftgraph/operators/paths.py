@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.session import delete, shared_folder
@@ -16,6 +16,21 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A frame that is written anew round by round; a round's table goes once the next one is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, shared_folder(spark), 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.n}"
+        df.write.parquet(path)
+        if self.n:
+            delete(self.spark, f"{self.base}/{self.n - 1}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def hops(edges: DataFrame, seeds: DataFrame, low: int, high: int) -> DataFrame:
     """(seed, node, depth): nodes that a path of low to high edges reaches from each seed, at their least such depth.
 
@@ -54,20 +69,21 @@ def walks(edges: DataFrame, seeds: DataFrame, low: int, high: int) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
     """(seed, node): all that each seed reaches, itself included; a worklist, each pair expanded once."""
     e = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
-    seen = cut(seeds.select(F.col("node").alias("seed"), "node").distinct())
-    now = seen
+    known, front = Rounds(edges.sparkSession), Rounds(edges.sparkSession)
+    seen = now = known.write(seeds.select(F.col("node").alias("seed"), "node").distinct())
     for _ in range(most):
         step = now.join(e, F.col("node") == F.col("__s")).select("seed", F.col("__d").alias("node")).distinct()
-        now = cut(step.join(seen, ["seed", "node"], "left_anti"))
+        now = front.write(step.join(seen, ["seed", "node"], "left_anti"))
         if now.isEmpty():
             return seen
-        seen = cut(seen.unionByName(now))
+        seen = known.write(seen.unionByName(now))
     raise RuntimeError("the closure did not end")
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, most: int = 60) -> DataFrame:
     """(node, component): the least node of each undirected component, by alternating star contraction."""
-    now = cut(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
+    rounds = Rounds(edges.sparkSession)
+    now = rounds.write(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     seen = mark(now)
     for _ in range(most):
@@ -76,7 +92,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most: int = 60)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
-        now = cut(large.join(least, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        now = rounds.write(large.join(least, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
         then = mark(now)
         if then == seen:
             break
@@ -96,8 +112,9 @@ def pagerank(edges: DataFrame, turns: int = 10, damping: float = 0.85) -> DataFr
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = cut(e.join(out, "src"))
     rank = nodes.join(out, F.col("node") == F.col("src"), "left").select("node", F.col("deg").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank"))
+    rounds = Rounds(edges.sparkSession)
     for _ in range(turns):
-        rank = cut(rank)
+        rank = rounds.write(rank)
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = links.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("in"))
         base = F.lit((1 - damping) / max(n, 1) + damping * lost / max(n, 1))
@@ -109,13 +126,14 @@ def distances(edges: DataFrame, most: int = 1000) -> DataFrame:
     """(seed, node, depth) of all pairs that an undirected path joins."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     e = cut(both.select(F.col("src").alias("__s"), F.col("dst").alias("__d")))
-    now = seen = cut(e.select(F.col("__s").alias("seed"), F.col("__s").alias("node"), F.lit(0).alias("depth")).distinct())
+    known, front = Rounds(edges.sparkSession), Rounds(edges.sparkSession)
+    now = seen = known.write(e.select(F.col("__s").alias("seed"), F.col("__s").alias("node"), F.lit(0).alias("depth")).distinct())
     for k in range(1, most + 1):
         step = now.join(e, F.col("node") == F.col("__s")).select("seed", F.col("__d").alias("node")).distinct()
-        now = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(k)))
+        now = front.write(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if now.isEmpty():
             return seen
-        seen = cut(seen.unionByName(now))
+        seen = known.write(seen.unionByName(now))
     raise RuntimeError("the distances did not end")
 
 
