@@ -127,8 +127,8 @@ def _long_enough(line: Column) -> Column:
 def common_lines(docs: DataFrame, line_texts: int = LINE_TEXTS, spread: float = LINE_SPREAD) -> DataFrame:
     """``h``, n_texts and n_places of the lines (hashes of their normal form) that are boilerplate, from all texts of docs.
 
-    An occurrence is a line, the lines beside it and the text that it is in. Equal ones collapse before they are
-    shuffled; counts by line and neighbours, and then by line, are partial aggregates, so that a line in a third of all
+    An occurrence is a line, the lines beside it and the text that it is in. Lines that are said too seldom are left
+    out by a first count, equal occurrences collapse before they are shuffled; counts by line and neighbours, and then by line, are partial aggregates, so that a line in a third of all
     documents weighs on no task.
     """
     lines = _lines(F.col("text"))
@@ -137,8 +137,10 @@ def common_lines(docs: DataFrame, line_texts: int = LINE_TEXTS, spread: float =
         beside = [F.coalesce(F.get(F.col("lines"), i + k), F.lit("\n")) for k in (-1, 1)]  # no line holds a line break
         return F.struct(F.when(_long_enough(x), F.xxhash64(x)).alias("h"), F.xxhash64(*beside).alias("beside"))
 
-    rows = docs.select(F.xxhash64("text").alias("t"), lines.alias("lines")).select("t", F.explode(F.transform("lines", place)).alias("p"))
-    once = rows.select("t", "p.h", "p.beside").where("h is not null").distinct()
+    rows = docs.select(F.xxhash64("text").alias("t"), lines.alias("lines")).select("t", F.explode(F.transform("lines", place)).alias("p")).select("t", "p.h", "p.beside").where("h is not null")
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= line_texts).select("h")
+    often = Scratch(docs.sparkSession).write(often, "often")  # most lines are said once; they go no further than this count
+    once = rows.join(often, "h", "left_semi").distinct()
     places = once.groupBy("h", "beside").agg(F.count(F.lit(1)).alias("n"))
     counts = places.groupBy("h").agg(F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_places"))
     return counts.where((F.col("n_texts") >= line_texts) & (F.col("n_places") >= spread * F.col("n_texts")))
