@@ -58,6 +58,19 @@ def test_keys_of_far_ids(spark):
     assert [r["text"] for r in got] == ["d", "a", "b", "c"] and len({r[RID] for r in got}) == 4
 
 
+def test_keys_of_many_null_ids(spark):
+    """A third of the rows without an id, in order of their texts, and no row lost or met in one task alone."""
+    r = random.Random(5)
+    rows = [(None if i % 3 == 0 else i // 4, r.choice(["", None, words(i, 3), "Ünder", "same"])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = keyed(frame).orderBy(RID).collect()
+    assert len({x[RID] for x in got}) == len(rows) and Counter((x["doc_id"], x["text"]) for x in got) == Counter(rows)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())
+    assert [(x["doc_id"], x["text"]) for x in got] == sorted(rows, key=key)
+    plan = keyed(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_quality(docs, empty):
     got = Counter(tuple(r)[:7] for r in quality_rules.report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
     want = Counter((r["doc_id"], *brute.quality(r["text"]).values()) for r in docs.select("doc_id", "text").collect())

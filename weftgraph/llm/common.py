@@ -73,17 +73,36 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return docs.withColumn(RID, plain)
     low, high = (low or 0), (high or 0)
     bits = int(most).bit_length()
-    order = Window.partitionBy(plain).orderBy(F.col(text_col).asc_nulls_first())
-    rank = F.row_number().over(order).cast("long") - 1
+    first = F.coalesce(F.hex(F.substring(F.encode(F.col(text_col), "UTF-8"), 1, 2)), F.lit(""))
+    own = ordered(docs, [plain], first, [F.col(text_col).asc_nulls_first()], "__wg_rank")
     if (high - low + 2) < 1 << (62 - bits):
         shifted = F.coalesce(plain - F.lit(low) + 1, F.lit(0).cast("long"))
-        return docs.withColumn(RID, F.shiftleft(shifted, bits) + rank)
+        return own.withColumn(RID, F.shiftleft(shifted, bits) + F.col("__wg_rank")).drop("__wg_rank")
     # ids that span nearly all longs and repeat: the dense order of the distinct ids comes first
     ids = docs.select(plain.alias("k")).distinct()
-    dense = ids.withColumn("__wg_o", F.row_number().over(Window.orderBy(F.col("k").asc_nulls_first())).cast("long"))
+    dense = ordered(ids, [], F.coalesce(F.shiftright("k", 48), F.lit(-(1 << 20))), [F.col("k").asc_nulls_first()], "__wg_o")
     dense = dense.withColumnRenamed("k", "__wg_k")
-    joined = docs.join(dense, F.col("__wg_k").eqNullSafe(plain))
-    return joined.withColumn(RID, F.shiftleft(F.col("__wg_o"), bits) + rank).drop("__wg_k", "__wg_o")
+    joined = own.join(dense, F.col("__wg_k").eqNullSafe(plain))
+    return joined.withColumn(RID, F.shiftleft(F.col("__wg_o") + 1, bits) + F.col("__wg_rank")).drop("__wg_k", "__wg_o", "__wg_rank")
+
+
+def ordered(df: DataFrame, group: list[Column], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """df with a gapless rank from 0 in order within each group (null is a group too).
+
+    Rows are dealt to buckets whose own order is that of the rows; a bucket is ranked alone and starts where those before
+    it end, so that a group that most rows are in is ranked in many tasks. Starts are a row for each group and bucket.
+    """
+    g = [f"__wg_g{i}" for i in range(len(group))]
+    dealt = df.select("*", *[c.alias(n) for c, n in zip(group, g, strict=True)], bucket.alias("__wg_b"))
+    sizes = dealt.groupBy(*g, "__wg_b").agg(F.count(F.lit(1)).alias("__wg_n"))
+    before = Window.partitionBy(*g).orderBy("__wg_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(n).alias(f"{n}s") for n in g], F.col("__wg_b").alias("__wg_bs"), F.coalesce(F.sum("__wg_n").over(before), F.lit(0)).alias("__wg_s"))
+    ranked_ = dealt.withColumn("__wg_r", F.row_number().over(Window.partitionBy(*g, "__wg_b").orderBy(*order)) - 1)
+    on = F.col("__wg_b") == F.col("__wg_bs")
+    for n in g:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    out = ranked_.join(starts, on).withColumn(name, (F.col("__wg_s") + F.col("__wg_r")).cast("long"))
+    return out.drop(*g, *[f"{n}s" for n in g], "__wg_b", "__wg_bs", "__wg_s", "__wg_r")
 
 
 def ranked(df: DataFrame, group: list[Column], order: list[Column], name: str, buckets: int, salt: Column) -> DataFrame:
