@@ -84,22 +84,21 @@ class Model:
         return float(out[0]), float(out[1])
 
 
-def _logistic(rows: list[tuple[list[int], list[float]]], y: np.ndarray, own: np.ndarray, unseen: float, l2: float = 1e-4, turns: int = 300) -> np.ndarray:
-    """Weights of words (those in own), style and the intercept, by Adam on all rows; only words are shrunk."""
+def _logistic(index: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.ndarray, own: np.ndarray, unseen: float, l2: float = 1e-4, turns: int = 300) -> np.ndarray:
+    """Weights of words (those in own), style and the intercept, by Adam on all rows; only words are shrunk.
+
+    Row ``row[k]`` has the word ``index[k]``; dense has a row's style and a one."""
     v = len(own)
     w = np.zeros(v + STYLE + 1)
     if not len(y) or y.min() == y.max():
         w[-1] = unseen if not len(y) else 6.0 if y[0] else -6.0
         return w
-    index = np.concatenate([np.array(r[0], np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    dense = np.hstack([np.array([r[1] for r in rows]), np.ones((len(rows), 1))])
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     m, s = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, turns + 1):
-        z = np.bincount(row, w[index], len(rows)) + dense @ w[v:]
+        z = np.bincount(row, w[index], len(y)) + dense @ w[v:]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.concatenate([np.bincount(index, error[row], v), dense.T @ error]) 
+        g = np.concatenate([np.bincount(index, error[row], v), dense.T @ error])
         g[:v] = (g[:v] + l2 * w[:v]) * own
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
@@ -146,11 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, deviations
             shape.append(style(t, own))
         return pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(seen, pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64()))], names=["quality", "toxic", "seen", "shape"])
 
-    data = chosen.select("doc_id", "text", "quality", "toxic").mapInArrow(over_batches(features), "quality int, toxic int, seen array<int>, shape array<double>").collect()  # at most fit_rows
-    xs = [(list(r["seen"]), list(r["shape"])) for r in data]
-    y = np.array([[r["quality"], r["toxic"]] for r in data], float).reshape(-1, 2)
+    data = chosen.select("doc_id", "text", "quality", "toxic").mapInArrow(over_batches(features), "quality int, toxic int, seen array<int>, shape array<double>").toArrow().combine_chunks()  # at most fit_rows
+    n, seen = data.num_rows, data["seen"].combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.int32()))
+    index, row = seen.flatten().to_numpy(), np.repeat(np.arange(n, dtype=np.int32), seen.value_lengths().to_numpy(zero_copy_only=False))
+    shape = data["shape"].combine_chunks().flatten().to_numpy() if n else np.zeros(0)
+    dense = np.hstack([shape.reshape(n, STYLE), np.ones((n, 1))])
+    y = np.stack([data[c].to_numpy() for c in ("quality", "toxic")], axis=1).astype(float)
     own = np.array([[float(i in head) for i in range(len(vocab))] for head in heads]).reshape(2, -1)
-    return Model(vocab, np.stack([_logistic(xs, y[:, k], own[k], unseen) for k, unseen in enumerate((6.0, -6.0))]))
+    # a model needs the words that tell about it, and no others
+    weights = []
+    for k, unseen in enumerate((6.0, -6.0)):
+        keep = own[k][index] > 0
+        weights.append(_logistic(index[keep], row[keep], dense, y[:, k], own[k], unseen))
+    return Model(vocab, np.stack(weights))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
