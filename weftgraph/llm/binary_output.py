@@ -156,6 +156,12 @@ def read(spark, out: str, with_ids: bool = False) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, parts: int, end: int = END) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row of docs, from files written and read back.
+
+    A null or empty text has the end id alone. Documents come in order of doc_id, null ids first, rows that share an id in
+    order of text. An empty table gives an empty table; other columns of docs are ignored. A text is encoded whole,
+    whatever its length.
+    """
     scratch = Scratch(docs.sparkSession)
     write(docs, f"{scratch.base}/ids", path, parts, end)
     return read(docs.sparkSession, f"{scratch.base}/ids")
