@@ -428,14 +428,14 @@ _LINE = {"method": "l_returnflag", "path": "l_orderkey", "name": "l_linenumber",
 def _set_sql(name: str) -> str:
     cols = ", ".join(f"{_LINE[c]} as {c}" for c in audit.KEY_SETS[name])
     a, b = (f"(select distinct {cols} from lineitem where {cond})" for cond in ("l_quantity <= 40", "l_quantity > 10"))
-    return f"select '{name}' as \"check\", (select count(*) from {a}) as n_ours, (select count(*) from {b}) as n_theirs, (select count(*) from (select * from {b} except select * from {a})) as missing, (select count(*) from (select * from {a} except select * from {b})) as extra"
+    return f"select '{name}' as set_name, (select count(*) from {a}) as n_ours, (select count(*) from {b}) as n_theirs, (select count(*) from (select * from {b} except select * from {a})) as missing, (select count(*) from (select * from {a} except select * from {b})) as extra"
 
 
 @query("e17_key_sets", " union all ".join(_set_sql(n) for n in audit.KEY_SETS))
 def e17(t):
     from functools import reduce
 
-    parts = [audit.parity_of(n, a, b).select("check", "n_ours", "n_theirs", "missing", "extra") for n, (a, b) in _sets(t).items()]
+    parts = [audit.parity_of(n, a, b).select(F.col("check").alias("set_name"), "n_ours", "n_theirs", "missing", "extra") for n, (a, b) in _sets(t).items()]
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 

@@ -24,13 +24,13 @@ def a10(t):
     return writers.typed_rows(rows, schema, ("types",)).select("id", "label", F.size("tags").alias("n_tags"), "flag", F.when(F.col("types").isNotNull(), F.size("types")).alias("n_types"))
 
 
-@query("a11_batched_writer", "select 'customer' as \"table\", count(*) as n from customer union all select 'lives_in', count(distinct (c_custkey, c_nationkey)) from customer union all select 'nation', count(distinct c_nationkey) from customer")
+@query("a11_batched_writer", "select 'customer' as name, count(*) as n from customer union all select 'lives_in', count(distinct (c_custkey, c_nationkey)) from customer union all select 'nation', count(distinct c_nationkey) from customer")
 def a11(t):
     def graph(rows):
         return {"customer": rows.select("c_custkey", "c_name"), "nation": rows.select("c_nationkey"), "lives_in": rows.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst"))}
 
     parts = [graph(t.customer.where(F.col("c_custkey") % 4 == k)) for k in range(4)]
-    return writers.write_tables(writers.together(parts), shared_folder(t.spark), {"customer": ["c_custkey"], "nation": ["c_nationkey"], "lives_in": ["src", "dst"]})
+    return writers.write_tables(writers.together(parts), shared_folder(t.spark), {"customer": ["c_custkey"], "nation": ["c_nationkey"], "lives_in": ["src", "dst"]}).withColumnRenamed("table", "name")
 
 
 @query("f13_only_new", "select o_orderkey as id from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")

@@ -73,9 +73,9 @@ def b15(t):
     return cypher(g, "MATCH (o:Order) RETURN o.o_orderkey AS id, coalesce(o.status, 'none') AS status")
 
 
-@query("b29_quoted_names", "select r_regionkey as \"the key\", r_name as name from region")
+@query("b29_quoted_names", "select r_regionkey as the_key, r_name as name from region")
 def b29(t):
-    return cypher(t.g, "MATCH (`r`:Region) RETURN `r`.`r_regionkey` AS `the key`, r.r_name AS name")
+    return cypher(t.g, "MATCH (`r`:Region) RETURN `r`.`r_regionkey` AS `the_key`, r.r_name AS name")
 
 
 @query("b31_constants", "select 1 as one, 'x' as letter, true as flag, [1, 2][2] as second")
@@ -317,12 +317,12 @@ def g20(t):
     return nodes.select("spec_id", "pointer", semantic.typed_id(F.lit("s"), F.col("pointer")).alias("typed_id"))
 
 
-@query("g22_typed_rows", "select 'ApiEndpoint' as \"table\", 2 * count(*) as n from nation union all select 'Property', 11 * count(*) from nation union all select 'SchemaComponent', 12 * count(*) from nation union all select 'HAS_PROPERTY', 11 * count(*) from nation union all select 'COMPOSED_OF', 3 * count(*) from nation")
+@query("g22_typed_rows", "select 'ApiEndpoint' as name, 2 * count(*) as n from nation union all select 'Property', 11 * count(*) from nation union all select 'SchemaComponent', 12 * count(*) from nation union all select 'HAS_PROPERTY', 11 * count(*) from nation union all select 'COMPOSED_OF', 3 * count(*) from nation")
 def g22(t):
     nodes, edges = _layer(t)
     tables = semantic.typed_tables(nodes, edges, ["ApiEndpoint", "Property", "SchemaComponent"], ["HAS_PROPERTY", "COMPOSED_OF"])
     keys = {k: ["src", "dst", "evidence"] if "src" in df.columns else ["semantic_id"] for k, df in tables.items()}
-    return writers.write_tables(tables, shared_folder(t.spark), keys)
+    return writers.write_tables(tables, shared_folder(t.spark), keys).withColumnRenamed("table", "name")
 
 
 @query("g29_shared_components", "select n_nationkey as id, 1 as gone, 'Bag,Mix,Nation,Region,Tag' as names from nation")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fields that report a collection's total.
 TOTALS = ["total"]
@@ -81,18 +82,23 @@ def collected(pages: DataFrame, most: int = 50, size: int = 100, cap_bytes: int
     a cap, a result whose JSON is over so many bytes is RESULT_TOO_LARGE, and no part of it is given."""
     kind = pages.schema["call_id"].dataType.simpleString()
 
-    def work(frame):
-        import pandas as pd
-
-        bodies = iter(frame.sort_values("page")["body"])
+    def one(bodies) -> tuple[int, str]:
+        left = iter(bodies)
         try:
-            items, code = collect(lambda params: json.loads(next(bodies)), most, size), ""
-            if cap_bytes is not None and len(json.dumps(items, separators=(",", ":")).encode()) > cap_bytes:
-                items, code = [], "RESULT_TOO_LARGE"
+            items = collect(lambda params: json.loads(next(left)), most, size)
         except PageError as e:
-            items, code = [], e.code
-        except (StopIteration, ValueError):
-            items, code = [], "PAGE_NOT_READ"
-        return pd.DataFrame([(frame["call_id"].iloc[0], len(items), code)], columns=["call_id", "n_items", "code"])
+            return 0, e.code
+        except (StopIteration, TypeError, ValueError):
+            return 0, "PAGE_NOT_READ"
+        large = cap_bytes is not None and len(json.dumps(items, separators=(",", ":")).encode()) > cap_bytes
+        return (0, "RESULT_TOO_LARGE") if large else (len(items), "")
+
+    def work(frames):
+        import pandas as pd
+
+        for frame in frames:
+            got = [one(bodies) for bodies in frame["bodies"]]
+            yield pd.DataFrame({"call_id": frame["call_id"], "n_items": [g[0] for g in got], "code": [g[1] for g in got]})
 
-    return pages.groupBy("call_id").applyInPandas(work, f"call_id {kind}, n_items int, code string")
+    calls = pages.groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: x["body"]).alias("bodies"))
+    return calls.mapInPandas(work, f"call_id {kind}, n_items int, code string")
