@@ -103,7 +103,8 @@ def fields(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def identity(raw: Column) -> Column:
     """The identifying members of an object as (key, json, text), in the order of IDENTITY: by exact name, else by the last
     that is equal but for case; null and empty values don't identify. Null for what isn't an object."""
-    return let(_members(raw), _identity)
+    names = _texts([n.lower() for n in IDENTITY])
+    return let(F.filter(_members(raw), lambda m: F.array_contains(names, F.lower(m["key"]))), _identity)  # few are left of most objects
 
 
 def _identity(members: Column) -> Column:
