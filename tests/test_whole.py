@@ -79,6 +79,45 @@ def test_distances_end_or_raise(spark):
         paths.distances(chain, 3)
 
 
+@pytest.mark.parametrize("pairs", [1 << 24, 30])
+def test_lengths_of_trees_and_cycles(spark, pairs):
+    # Rings with trees, a grid, an edge alone, a star, a path, parallel edges, loops and null ends; a random graph.
+    import random
+
+    draw = random.Random(5)
+    edges = [(i, (i + 1) % 5) for i in range(5)] + [(0, 10), (10, 11), (10, 12), (12, 13), (3, 14), (13, 15), (20, 21), (21, 20), (21, 21), (9, 9), (None, 9)]
+    edges += [(30, 31 + i) for i in range(6)] + [(40 + i, 41 + i) for i in range(7)] + [(60 + i, 61 + i) for i in range(8) if i % 3 < 2] + [(60 + i, 63 + i) for i in range(6)]
+    edges += [(80 + draw.randrange(14), 80 + draw.randrange(14)) for _ in range(15)] + [(100 + i, 100 + draw.randrange(i)) for i in range(1, 25)]
+    edges += [(200, 201), (201, 202), (202, 200), (202, 203), (203, 204), (204, 205), (205, 206), (206, 204), (206, 207)]
+    depths = all_depths([(a, b) for a, b in edges if None not in (a, b) and a != b])
+    want = {}
+    for (a, b), d in depths.items():
+        least = min(y for x, y in depths if x == a)
+        n, far, total = want.get(least, (0, 0, 0))
+        want[least] = (n + (a == b), max(far, d), total + d)
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    assert {r["component"]: (r["n_nodes"], r["diameter"], int(r["total"])) for r in paths.lengths(frame, pairs=pairs).collect()} == want
+
+
+def test_lengths_end_or_raise(spark):
+    for edges in ([(i, i + 1) for i in range(8)], [(i, (i + 1) % 9) for i in range(9)]):
+        frame = spark.createDataFrame(edges, "src long, dst long")
+        assert paths.lengths(frame, 5).count() == 1
+        with pytest.raises(RuntimeError):
+            paths.lengths(frame, 2)
+    assert paths.lengths(spark.createDataFrame([], "src string, dst string")).collect() == []
+
+
+def test_distances_of_a_large_star(spark, tmp_path):
+    # Ten billion pairs: they can't be listed.
+    spark.range(100_000).selectExpr("id as c_custkey", "cast(if(id < 99999, 3, 7) as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 3), (2, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [tuple(r) for r in QUERIES["i21_distances"](spark, str(tmp_path)).collect()] == [(2, 2.0)]
+    edges = spark.read.parquet(f"{tmp_path}/customer.parquet").select(F.col("c_custkey").alias("src"), (-F.col("c_nationkey")).cast("long").alias("dst"))
+    m = 99_999
+    assert {tuple(int(x) for x in r) for r in paths.lengths(edges).collect()} == {(-3, m + 1, 2, 2 * m * (m - 1) + 2 * m), (-7, 2, 1, 2)}
+
+
 def test_reach_of_every_seed(spark):
     # 4 -> 5 -> 6 -> 7 -> 8 goes past three steps, 9 has no edge.
     step = {1: 2, 4: 5, 5: 6, 6: 7, 7: 8}

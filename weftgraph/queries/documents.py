@@ -163,8 +163,9 @@ _STARS = "select k, count(*) as m from (select c_nationkey as k from customer un
 
 @query("i21_distances", f"select max(case when m > 1 then 2 else 1 end)::int as diameter, round(sum(2 * m * (m - 1) + 2 * m) / sum(m * (m - 1) + 2 * m), 2) as mean_path from ({_STARS})")
 def i21(t):
-    d = paths.distances(_places(t))
-    return d.agg(F.max("depth").alias("diameter"), F.round(F.avg(F.when(F.col("seed") != F.col("node"), F.col("depth"))), 2).alias("mean_path"))
+    d = paths.lengths(_places(t))
+    n = F.col("n_nodes").cast("decimal(19,0)")
+    return d.agg(F.max("diameter").alias("diameter"), F.round(F.sum("total").cast("double") / F.sum(n * (n - 1)).cast("double"), 2).alias("mean_path"))
 
 
 @query("i22_bridges_and_cut_points", f"select 'bridge' as kind, least(src, dst) as a, greatest(src, dst) as b from ({_PLACES}) where src is not null and dst is not null union all select 'articulation', 'n' || k, null from ({_STARS}) where m > 1")
